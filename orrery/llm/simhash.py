@@ -102,7 +102,7 @@ def trie_components(x: np.ndarray, budget: int) -> np.ndarray:
             if not len(f):
                 continue
             alo, ahi, blo, bhi, err = f.T
-        one_bit, above = np.uint64(1 << bit), np.uint64(bit)
+        above = np.uint64(bit)
 
         def split(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             return np.clip(np.searchsorted(x, ((x[lo] >> above) | np.uint64(1)) << above), lo, hi)
@@ -117,7 +117,6 @@ def trie_components(x: np.ndarray, budget: int) -> np.ndarray:
         ]
         f = np.concatenate(nxt)
         f = f[(f[:, 1] > f[:, 0]) & (f[:, 3] > f[:, 2]) & (f[:, 4] <= budget)]
-        del one_bit
         if len(f):
             stack.append((bit - 1, f))
     return label
@@ -154,10 +153,6 @@ def links(reps: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
 
         def flush(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x = np.sort(group.view(np.uint64))
-            if len(x) <= 64:
-                i, j = np.triu_indices(len(x), 1)
-                hit = np.bitwise_count(x[i] ^ x[j]) <= budget
-                return x[i[hit]], x[j[hit]]
             label = trie_components(x, budget)
             other = label != np.arange(len(x))
             return x[label[other]], x[other]
