@@ -128,3 +128,9 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of any item."""
+    hits = matches(tokenize(docs), windows(items)).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left_anti")

@@ -6,8 +6,7 @@ training texts. A text takes the language whose prototype has the largest cosine
 
 Defined results: a null text, or one without a letter, gives ``und`` and score 0. A text is read whole, in pieces of
 bounded memory. Equal cosines go to the language first in code point order. Repeated rows count as often as they
-occur. Without a labelled text every text is ``und``. Columns beside those named are carried along by ``predict`` only
-if asked for, and none clashes with its outputs.
+occur. Without a labelled text every text is ``und``. Other columns are ignored, or carried along under their names.
 """
 
 from __future__ import annotations
@@ -136,8 +135,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     return summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("proto"))
 
 
-def predict(docs: DataFrame, prototypes: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred string and score double (the cosine, 0 at least)."""
+def _scored(docs: DataFrame, prototypes: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep`` as k0, k1 and so on, with lang_pred and score."""
     rows = prototypes.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -163,10 +162,21 @@ def predict(docs: DataFrame, prototypes: DataFrame, keep: list[str], text: str =
                 found, score = np.full(len(norm), "und", object), np.zeros(len(norm))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(found.tolist(), pa.string()), pa.array(score)], names=[*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"])
 
-    done = out.mapInArrow(run, schema + ", lang_pred string, score double")
+    return out.mapInArrow(run, schema + ", lang_pred string, score double")
+
+
+def predict(docs: DataFrame, prototypes: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred string and score double (the cosine, 0 at least)."""
+    done = _scored(docs, prototypes, keep, text)
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 
 def identify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame:
     """Learns from ``labelled`` (text, lang) and predicts every row of ``docs``."""
     return predict(docs, train(labelled), keep)
+
+
+def accept(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that resemble a learnt language: not ``und``, cosine above 0."""
+    done = _scored(docs, train(labelled), docs.columns, text).where("lang_pred <> 'und' and score > 0")
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

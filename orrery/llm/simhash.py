@@ -193,3 +193,12 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.select("fp", "root").join(first, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id names their component; rows equal in doc_id and text are one."""
+    found = materialize(near_duplicates(docs, budget), "components")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    counts = found.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("d")).first()
+    return out if counts["n"] == counts["d"] else out.dropDuplicates(["doc_id", "text"])
