@@ -1 +1,14 @@
-"""plans of the engine."""
+"""Bound queries: the operators over the driver's tables, with their SQL."""
+
+from __future__ import annotations
+
+from . import catalog  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    return dict(ORACLES)
