@@ -36,6 +36,8 @@ HOT = 100_000
 _SEGMENT = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _NULL = -(1 << 63)
+#: Kinds of rows that are dealt by hash: an anchor, one that stands for several of its text, a span of settled bytes.
+_ONCE, _TWICE, _SPAN = 0, 1, 2
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -264,35 +266,39 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for the rest of its hash) or 2 (open). What is carried from batch to batch is one anchor for each surroundings of one hash."""
     rest = [np.zeros(0, np.int64)] * 7
 
-    def emit(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
-        did, th, pos, h, c1, c2, twice = cols
+    def rows(cols: list[np.ndarray], role: np.ndarray, keep: np.ndarray, span: bool = False) -> pa.RecordBatch:
+        did, th, pos, h, c1 = (c[keep] for c in cols[:5])
+        lo, hi = (pos, c1) if span else (np.maximum(pos - SIDE, 0), pos + MATCH)
+        return pa.RecordBatch.from_pydict({"did": did, "th": th, "lo": lo, "hi": hi, "pos": pos, "h": h, "role": role[keep].astype(np.int8)})
+
+    def decide(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        _, _, _, h, c1, c2, kind = cols
         n = len(h)
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]))
         size = np.diff(np.append(first, n))
-        settled = (size > 1) | (twice[first] > 0)
+        settled = (size > 1) | (np.maximum.reduceat(kind, first) == _TWICE)
         hash_of = h[first]
-        new_hash = np.concatenate([[True], hash_of[1:] != hash_of[:-1]])
-        group = np.cumsum(new_hash) - 1
+        group = np.cumsum(np.concatenate([[True], hash_of[1:] != hash_of[:-1]])) - 1
         several = np.bincount(group)[group] > 1
         open_end = (group == group[-1]) & (not last)
         role = np.full(n, -1)
         role[np.repeat(settled, size)] = 0
-        lead = np.where(several & settled, 1, np.where(several, 2, np.where(settled, 0, -1)))
-        role[first] = np.where(open_end, -1, lead)
-        keep = role >= 0
-        out = pa.RecordBatch.from_pydict({"did": did[keep], "th": th[keep], "pos": pos[keep], "h": h[keep], "role": role[keep].astype(np.int8)})
+        role[first] = np.where(open_end, -1, np.where(several, np.where(settled, 1, 2), np.where(settled, 0, -1)))
         carry = first[open_end]
-        return out, [*(c[carry] for c in cols[:6]), settled[open_end].astype(np.int64)]
+        return rows(cols, role, role >= 0), [*(c[carry] for c in cols[:6]), np.where(settled[open_end], _TWICE, _ONCE)]
 
     for batch in batches:
-        cols = [np.concatenate([r, batch.column(i).to_numpy() if i < 6 else np.zeros(batch.num_rows, np.int64)]) for i, r in enumerate(rest)]
-        if not len(cols[0]):
-            continue
-        out, rest = emit(cols, False)
-        if out.num_rows:
-            yield out
+        cols = [batch.column(i).to_numpy() for i in range(7)]
+        span = cols[6] == _SPAN
+        if span.any():
+            yield rows(cols, np.zeros(len(span), np.int64), span, True)
+        cols = [np.concatenate([r, c[~span]]) for r, c in zip(rest, cols)]
+        if len(cols[0]):
+            out, rest = decide(cols, False)
+            if out.num_rows:
+                yield out
     if len(rest[0]):
-        out, _ = emit(rest, True)
+        out, _ = decide(rest, True)
         if out.num_rows:
             yield out
 
@@ -328,10 +334,29 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text. Those of one text with equal surroundings are settled here: one stands for all, and the
+    bytes around them come as spans (pos, c1), so that a text that repeats itself deals out little under one hash."""
     for batch in batches:
         who, pos, h, around = anchors(batch.column(2).to_pylist())
-        did, th = batch.column(0).to_numpy()[who], batch.column(1).to_numpy()[who]
-        yield pa.RecordBatch.from_pydict({"did": did, "th": th, "pos": pos, "h": h.view(np.int64), "c1": around[:, 0].view(np.int64), "c2": around[:, 1].view(np.int64)})
+        if not len(who):
+            continue
+        did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        c1, c2 = around[:, 0].view(np.int64), around[:, 1].view(np.int64)
+        order = np.lexsort((pos, c2, c1, who))
+        new = np.concatenate([[True], (np.diff(who[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)])
+        first = np.flatnonzero(new)
+        several = np.repeat(np.diff(np.append(first, len(order))) > 1, np.diff(np.append(first, len(order))))
+        lead = order[first]
+        kind = np.where(several[first], _TWICE, _ONCE)
+        yield pa.RecordBatch.from_pydict({"did": did[who[lead]], "th": th[who[lead]], "pos": pos[lead], "h": h[lead].view(np.int64), "c1": c1[lead], "c2": c2[lead], "kind": kind})
+        if several.any():
+            members = np.sort(order[several])  # by text and position
+            w, lo, hi = who[members], np.maximum(pos[members] - SIDE, 0), pos[members] + MATCH
+            cut = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (lo[1:] > hi[:-1])]))
+            end = np.append(cut[1:], len(w)) - 1
+            zero = np.zeros(len(cut), np.int64)
+            key = (th[w[cut]].view(np.uint64) ^ (lo[cut].astype(np.uint64) * np.uint64(_ODD))).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"did": did[w[cut]], "th": th[w[cut]], "pos": lo[cut], "h": key, "c1": hi[end], "c2": zero, "kind": np.full(len(cut), _SPAN)})
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,9 +418,9 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """(did, th, lo long, hi long) over keyed texts: together all bytes to remove; ranges may overlap and pass a text's ends."""
     hot = HOT if hot is None else hot
-    found = docs.mapInArrow(_find_anchors, "did long, th long, pos long, h long, c1 long, c2 long")
-    marks = materialize(found.repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_classify, "did long, th long, pos long, h long, role tinyint"), "repeats")
-    settled = marks.where("role < 2").select("did", "th", F.greatest(F.col("pos") - SIDE, F.lit(0)).alias("lo"), (F.col("pos") + MATCH).alias("hi"))
+    found = docs.mapInArrow(_find_anchors, "did long, th long, pos long, h long, c1 long, c2 long, kind long")
+    marks = materialize(found.repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_classify, "did long, th long, lo long, hi long, pos long, h long, role tinyint"), "repeats")
+    settled = marks.where("role < 2").select("did", "th", "lo", "hi")
     open_ = marks.where("role > 0")
     large = open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h")
     any_large = large.limit(1).count() > 0
