@@ -18,7 +18,7 @@ def median_mad(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
 
 def sorted_values(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """The sorted samples by key, for conventions that index them; a key's samples must fit a task (one frame, one tile)."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("s"))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("samples"))
 
 
 def upper_median(s: Column) -> Column:
@@ -40,10 +40,10 @@ def percentile_trunc(s: Column, p: float) -> Column:
 def robust_distribution(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """n, min, max, upper median and upper median absolute deviation by key."""
     s = sorted_values(df, keys, value)
-    mid = upper_median(F.col("s"))
-    dev = F.array_sort(F.transform("s", lambda x: F.abs(x - F.col("m"))))
+    mid = upper_median(F.col("samples"))
+    dev = F.array_sort(F.transform("samples", lambda x: F.abs(x - F.col("m"))))
     s = s.withColumn("m", mid)
-    return s.select(*keys, F.size("s").cast("long").alias("n"), F.col("s")[0].alias("min"), F.element_at("s", -1).alias("max"), F.col("m").alias("median"), upper_median(dev).alias("mad"))
+    return s.select(*keys, F.size("samples").cast("long").alias("n"), F.col("samples")[0].alias("min"), F.element_at("samples", -1).alias("max"), F.col("m").alias("median"), upper_median(dev).alias("mad"))
 
 
 def histogram_stats(df: DataFrame, keys: list[str], value: str = "g") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, sequences  # noqa: F401
+from . import catalog, images, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -43,7 +43,7 @@ def histogram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + FRAME + ", s AS (SELECT f, list_sort(list(v)) AS s, CAST(count(*) AS BIGINT) AS n FROM v_frame GROUP BY f) SELECT f, round(s[CAST(least(floor(n * 0.25e0), n - 1) AS BIGINT) + 1], 6) AS p_floor, round(s[CAST(round((n - 1) * 0.25e0) AS BIGINT) + 1], 6) AS p_round, round(s[CAST(least(trunc(n * 0.2e0), n - 1) AS BIGINT) + 1], 6) AS p_sky, round(s[n // 2 + 1], 6) AS upper_median FROM s")
 def percentile_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stats.sorted_values(frames(spark, sf_dir), ["f"])
-    c = F.col("s")
+    c = F.col("samples")
     return s.select("f", F.round(stats.percentile_floor(c, 0.25), 6).alias("p_floor"), F.round(stats.percentile_round(c, 0.25), 6).alias("p_round"), F.round(stats.percentile_trunc(c, 0.2), 6).alias("p_sky"), F.round(stats.upper_median(c), 6).alias("upper_median"))
 
 
