@@ -22,18 +22,19 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_CACHE = 250_000
+_CACHE = 350_000
 _LONGEST = 64
+_ROWS = 500
 _INF = float("inf")
 
 
@@ -100,7 +101,7 @@ class Model:
     def normalize(self, text: str) -> str:
         """The normaliser: white space rules, then the escaped text."""
         if self.squeeze:
-            text = regex.sub(" +", " ", text.strip(" "))
+            text = re.sub(" +", " ", text.strip(" "))
         if text and self.add_prefix:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
@@ -137,8 +138,8 @@ class Transducer:
             for ch in piece:
                 node = node.setdefault(ch, {})
             node[""] = (i, 0.0 if self.merging else -self.rank[piece])
-        self.stable: dict[tuple[str, str], bool] = {}
-        self.cuts = not any(regex.search(f"[^{SPACE}]{SPACE}", p) for p in self.id_of)
+        self.stable: dict[int, bool] = {}  # by last piece and next
+        self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id_of)
 
     def merge(self, text: str) -> list[str]:
         """Merging as a BPE model defines it: the best-scored pair first, the leftmost of equals."""
@@ -155,14 +156,7 @@ class Transducer:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether merging keeps two pieces, side by side, as they are."""
-        key = (left, right)
-        known = self.stable.get(key)
-        if known is None:
-            known = self.merge(left + right) == [left, right]
-            if len(self.stable) > 500_000:
-                self.stable.clear()
-            self.stable[key] = known
-        return known
+        return self.merge(left + right) == [left, right]
 
     def fallback(self, ch: str) -> tuple[int, ...]:
         if self.model.byte_fallback:
@@ -170,52 +164,89 @@ class Transducer:
         return (self.model.unknown,)
 
     def shortest(self, text: str) -> list[int]:
-        """The ids on the shortest path of the lattice of ``text`` and the machine.
-
-        ``states[i]`` holds, for each last piece of a path to position i (one, if weights do not depend on it), the
-        least weight with where it came from.
-        """
+        """The ids on the shortest path of the lattice of ``text`` and the machine, from left to right."""
+        return self._stable_path(text) if self.merging else self._least_path(text)
+
+    def _arcs(self, text: str, i: int) -> Iterator[tuple[int, int, float]]:
+        """The arcs that leave position i: where each ends, what it writes, its weight."""
+        node, single = self.trie, False
+        for j in range(i, len(text)):
+            node = node.get(text[j])
+            if node is None:
+                break
+            arc = node.get("")
+            if arc is not None:
+                single = single or j == i
+                yield j + 1, arc[0], arc[1]
+        if not single:
+            yield i + 1, -1, self.unknown_weight
+
+    def _least_path(self, text: str) -> list[int]:
         n = len(text)
-        states: list[dict[str, tuple[float, int, str, tuple[int, ...]]]] = [{} for _ in range(n + 1)]
-        states[0][""] = (0.0, -1, "", ())
-        merging, root, pieces = self.merging, self.trie, self.model.pieces
+        weight, back = [0.0] + [_INF] * n, [(0, 0)] * (n + 1)
         for i in range(n):
-            here = states[i]
-            if not here:
-                continue
-            node, j, single = root, i, False
-            while j < n:
-                node = node.get(text[j])
-                if node is None:
-                    break
-                j += 1
-                arc = node.get("")
-                if arc is None:
-                    continue
-                single = single or j == i + 1
-                piece, weight = arc
-                spelled = pieces[piece]
-                to = states[j]
-                for last, (w, *_rest) in here.items():
-                    if merging and last and not self.fits(last, spelled):
+            for j, piece, w in self._arcs(text, i):
+                if weight[i] + w < weight[j]:
+                    weight[j], back[j] = weight[i] + w, (i, piece)
+        at, path = [], []
+        j = n
+        while j > 0:
+            j, piece = back[j]
+            at.append(j)
+            path.append(piece)
+        return self._spelled(text, at[::-1], path[::-1])
+
+    def _stable_path(self, text: str) -> list[int]:
+        """Weights are 0 or infinite and depend on the last piece: the first path of weight 0 is the shortest. Arcs are
+        followed longest first; a state that leads nowhere is left once and not entered again."""
+        n = len(text)
+        root, stable, pieces = self.trie, self.stable, self.model.pieces
+        at, path, options, dead = [0], [-2], [], set()
+        i = 0
+        while i < n:
+            if len(options) < len(at):
+                arcs = []
+                node = root
+                for j in range(i, n):
+                    node = node.get(text[j])
+                    if node is None:
+                        break
+                    if "" in node:
+                        arcs.append((j + 1, node[""][0]))
+                if not arcs or arcs[0][0] != i + 1:
+                    arcs.insert(0, (i + 1, -1))
+                options.append(arcs)
+            arcs, last = options[-1], path[-1]
+            while arcs:
+                j, piece = arcs.pop()
+                if last >= 0 and piece >= 0:
+                    key = last << 32 | piece
+                    known = stable.get(key)
+                    if known is None:
+                        known = self.fits(pieces[last], pieces[piece])
+                        if len(stable) > 400_000:
+                            stable.clear()
+                        stable[key] = known
+                    if not known:
                         continue  # an arc of infinite weight
-                    key = spelled if merging else ""
-                    if key not in to or w + weight < to[key][0]:
-                        to[key] = (w + weight, i, last, (piece,))
-            if not single:
-                to = states[i + 1]
-                for last, (w, *_rest) in here.items():
-                    if "" not in to or w + self.unknown_weight < to[""][0]:
-                        to[""] = (w + self.unknown_weight, i, last, self.fallback(text[i]))
-        if n and not states[n]:
-            raise ValueError("no path")
-        key = min(states[n], key=lambda k: states[n][k][0])
-        out: list[tuple[int, ...]] = []
-        at = n
-        while at > 0:
-            _, at, key, ids = states[at][key]
-            out.append(ids)
-        ids = [i for part in reversed(out) for i in part]
+                if dead and (j, piece) in dead:
+                    continue
+                at.append(j)
+                path.append(piece)
+                i = j
+                break
+            else:
+                dead.add((i, last))
+                at.pop()
+                path.pop()
+                options.pop()
+                i = at[-1]
+        return self._spelled(text, at, path[1:])
+
+    def _spelled(self, text: str, at: list[int], path: list[int]) -> list[int]:
+        if min(path, default=0) >= 0:
+            return path
+        ids = [x for i, piece in zip(at, path) for x in ((piece,) if piece >= 0 else self.fallback(text[i]))]
         if not self.model.byte_fallback:  # the library joins neighbouring unknowns
             ids = [x for k, x in enumerate(ids) if not (k and x == self.model.unknown == ids[k - 1])]
         return ids
@@ -240,6 +271,23 @@ class _Parts(dict):
         return ids
 
 
+def _cutter(machine: Transducer):
+    """Cuts a normalised text where no piece can join its two sides: before white space, around characters of no longer
+    piece, between a letter and a mark (and a mark and a letter) that stand side by side in no piece."""
+    joined = {c for p in machine.id_of if len(p) > 1 for c in p}
+    neighbours = {(x, y) for p in machine.id_of for x, y in zip(p, p[1:]) if SPACE not in (x, y)}
+    stop = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
+    marks = {chr(c) for c in range(33, 127) if not chr(c).isalnum()}
+    marks |= {c for pair in neighbours for c in pair if not c.isascii() and marks & set(pair)}  # characters that go with marks
+    not_before = {y for x, y in neighbours if y in marks and x not in marks}  # marks that a letter may join
+    not_after = {x for x, y in neighbours if x in marks and y not in marks}
+    group = lambda chars: "".join(map(re.escape, sorted(chars)))
+    m, rest = group(marks), f"[^{SPACE}{stop}]*"
+    letters = f"{SPACE}*[^{SPACE}{stop}{m}]+" + (f"(?:[{group(not_before)}]{rest})?" if not_before else "")
+    others = f"{SPACE}*[{m}]+" + (f"(?:(?<=[{group(not_after)}]){rest})?" if not_after else "")
+    return re.compile(f"{letters}|{others}|{SPACE}+" + (f"|[{stop}]" if stop else "")).findall
+
+
 class Encoder:
     """Encodes and decodes whole texts."""
 
@@ -247,11 +295,7 @@ class Encoder:
         self.model = Model(path)
         self.machine = Transducer(self.model)
         self.parts = _Parts(self.machine)
-        # a character that no longer piece holds ends a part: nothing joins across it
-        joined = {c for p in self.machine.id_of if len(p) > 1 for c in p}
-        alone = [c for c in "\n\t\r" if c not in joined]
-        stop = "".join(map(regex.escape, alone))
-        self.find = regex.compile(f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+" + (f"|[{stop}]" if stop else "")).findall if self.machine.cuts else lambda t: [t]
+        self.find = _cutter(self.machine) if self.machine.cuts else lambda t: [t]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -263,26 +307,28 @@ class Encoder:
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_pieces long, ids array<int>, ids_sha256 (of the ids, comma-joined), round_trip (decoding gives the text back)."""
+    """doc_id, n_pieces long, ids array<int>, ids_sha256 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text back)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         spelled = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(encoder.model.pieces, encoder.model.kinds)]
         spelled[encoder.model.unknown] = " ⁇ ".encode()
         drop = len(SPACE.encode()) if encoder.model.add_prefix else 0
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [encoder.encode(t) for t in texts]
-            lists = [i.tolist() for i in ids]
-            same = []
-            for t, i in zip(texts, lists):
-                out = b"".join(map(spelled.__getitem__, i))
-                out = out[drop:] if out.startswith(SPACE.encode()) else out
-                same.append(out.decode("utf-8", "replace").replace(SPACE, " ") == t)
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            sha = [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(sha), pa.array(same)], names=["doc_id", "n_pieces", "ids", "ids_sha256", "round_trip"])
+        space = SPACE.encode()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _ROWS):  # few texts at a time: ids take more room than text
+                batch = whole.slice(lo, _ROWS)
+                found, sha, same = [], [], []
+                for t in batch.column(1).to_pylist():
+                    ids = encoder.encode(t)
+                    out = b"".join(map(spelled.__getitem__, ids.tolist()))
+                    out = out[drop:] if out.startswith(space) else out
+                    found.append(ids)
+                    sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                    same.append(out.decode("utf-8", "replace").replace(SPACE, " ") == (t or ""))
+                sizes = [len(i) for i in found]
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.concatenate(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists, pa.array(sha), pa.array(same)], names=["doc_id", "n_pieces", "ids", "ids_sha256", "round_trip"])
 
     kind = dict(docs.dtypes)[doc_id]
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, ids_sha256 string, round_trip boolean")
