@@ -61,12 +61,20 @@ def nearest_in_time(left: DataFrame, right: DataFrame, window: float, key: str |
     """
     keys = [key] if key else []
     strip = lambda c: F.floor(F.col(c) / window)
-    a = left.select("id", "t", *keys, F.explode(F.array(*[strip("t") + d for d in (-1, 0, 1)])).alias("strip"))
-    b = right.select("rid", "rt", *keys, strip("rt").alias("strip"))
-    pairs = a.join(b, [*keys, "strip"]).withColumn("dist", F.abs(F.col("t") - F.col("rt"))).where(F.col("dist") <= window)
-    tie = [F.desc("rid")] if later_wins else [F.desc("rt"), F.desc("rid")]
-    w = Window.partitionBy("id").orderBy("dist", *tie)
-    return pairs.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", *keys, "t", "rid", "rt", "dist")
+    none = F.lit(None)
+    a = left.select("id", F.col("t").cast("double").alias("t"), *keys, F.explode(F.array(*[strip("t") + d for d in (-1, 0, 1)])).alias("strip"))
+    b = right.select("rid", F.col("rt").cast("double").alias("rt"), *keys, strip("rt").alias("strip")).groupBy(*keys, "strip", "rt").agg(F.max("rid").alias("rid"))
+    point = F.struct("rt", "rid")
+    kind = dict(left.dtypes)["id"]
+    both = a.select(*keys, "strip", "t", "id", none.cast(f"struct<rt:double,rid:{dict(right.dtypes)['rid']}>").alias("p")).union(b.select(*keys, "strip", "rt", none.cast(kind), point))
+    # the last point up to each instant, and the first one after it, each by one pass over a sorted strip
+    up = Window.partitionBy(*keys, "strip").orderBy("t", F.col("p").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys, "strip").orderBy(F.desc("t"), F.col("p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("before", F.last("p", True).over(up)).withColumn("after", F.last("p", True).over(down)).where("p is null")
+    e = seen.select("id", *keys, "t", F.explode(F.array_compact(F.array("before", "after"))).alias("p")).withColumn("dist", F.abs(F.col("t") - F.col("p.rt"))).where(F.col("dist") <= window)
+    tie = (F.col("p.rid"),) if later_wins else (F.col("p.rt"), F.col("p.rid"))
+    best = e.groupBy("id", *keys).agg(F.first("t").alias("t"), F.max(F.struct((-F.col("dist")).alias("d"), *[c.alias(f"k{i}") for i, c in enumerate(tie)], F.col("p").alias("p"))).alias("m"))
+    return best.select("id", *keys, "t", F.col("m.p.rid").alias("rid"), F.col("m.p.rt").alias("rt"), (-F.col("m.d")).alias("dist"))
 
 
 def eviction(snapshots: DataFrame, cap: int, keep: int | None = None, provider: str = "provider") -> DataFrame:
