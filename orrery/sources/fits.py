@@ -146,7 +146,10 @@ def write(images: DataFrame, folder: str) -> DataFrame:
 
 def card_value(headers: str, keys: list[str]) -> F.Column:
     """The first card, by order of ``keys``, without regard to case."""
-    found = [F.get(F.filter(headers, lambda c, k=k: F.upper(c["keyword"]) == k.upper()), F.lit(0))["value"] for k in keys]
+    def named(key: str) -> F.Column:
+        return F.get(F.filter(headers, lambda c: F.upper(c["keyword"]) == key.upper()), F.lit(0))["value"]
+
+    found = [named(k) for k in keys]
     return F.coalesce(*found) if len(found) > 1 else found[0]
 
 
