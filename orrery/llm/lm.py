@@ -32,13 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, tidied
 
 SMOOTHING = 1000.0
 #: Tokens of level 1 and pairs of level 2 in a shard, about.
 SHARD_WORDS, SHARD_PAIRS = 2_000_000, 2_000_000
 #: Tokens that a task looks up or counts together.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
+_ROWS = 500
 END = b" "
 _STEP = 16 / 65535
 _U = np.uint64
@@ -84,16 +85,15 @@ class EliasFano:
         x |= np.where(off > 0, self.low[word + 1] << ((_U(64) - off) & _U(63)), _U(0))
         return x & _U((1 << self.shift) - 1)
 
-    def _skip(self, pos: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-        """The bit position after the given number of zeros from ``pos``."""
-        pos, zeros = pos.copy(), zeros.copy()
-        active = np.flatnonzero(zeros > 0)
+    def _skip(self, pos: np.ndarray, bits: np.ndarray, ones: bool = False) -> np.ndarray:
+        """The bit position after the given number of zeros (or ones) from ``pos``."""
+        pos, bits = pos.copy(), bits.copy()
+        active = np.flatnonzero(bits > 0)
         while len(active):
-            p, z = pos[active], zeros[active]
-            off = (p & 63).astype(_U)
-            w = ~self.high[p >> 6] >> off
-            have = np.minimum(np.bitwise_count(w).astype(np.int64), 64)
-            # shifted-in zeros are no bits of the word
+            p, z = pos[active], bits[active]
+            word = self.high[p >> 6]
+            w = (word if ones else ~word) >> (p & 63).astype(_U)  # what is shifted in counts as neither
+            have = np.bitwise_count(w).astype(np.int64)
             inside = have >= z
             if inside.any():
                 v, k, at = w[inside], z[inside], np.zeros(int(inside.sum()), np.int64)
@@ -106,7 +106,7 @@ class EliasFano:
                 pos[active[inside]] = p[inside] + at + 1
             rest = ~inside
             pos[active[rest]] = ((p[rest] >> 6) + 1) << 6
-            zeros[active[rest]] = z[rest] - have[rest]
+            bits[active[rest]] = z[rest] - have[rest]
             active = active[rest]
         return pos
 
@@ -133,18 +133,12 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The elements at the given indexes."""
-        block = np.searchsorted(self.ranks, i, "right") - 1
-        lo, hi = block << 4, (block << 4) + 16
-        while True:
-            active = np.flatnonzero(hi - lo > 1)
-            if not len(active):
-                break
-            mid = (lo[active] + hi[active]) >> 1
-            start, _ = self.bounds(mid)
-            below = start <= i[active]
-            lo[active] = np.where(below, mid, lo[active])
-            hi[active] = np.where(below, hi[active], mid)
-        return (lo.astype(_U) << _U(self.shift)) | self.low_bits(i)
+        if not len(i):
+            return np.zeros(0, _U)
+        block = np.searchsorted(self.ranks, i.astype(self.ranks.dtype), "right") - 1
+        first = self.ranks[block].astype(np.int64)
+        at = self._skip(first + (block << 4), i - first + 1, ones=True) - 1
+        return ((at - i).astype(_U) << _U(self.shift)) | self.low_bits(i)
 
     def index(self, x: np.ndarray) -> np.ndarray:
         """The index of each ``x``, -1 where it is absent."""
@@ -250,7 +244,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[li
     def out():
         return list(local), np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array(sizes, np.int64), rows
 
-    for batch in batches:
+    for batch in (whole.slice(lo, _ROWS) for whole in batches for lo in range(0, whole.num_rows, _ROWS)):
         first = 0
         for i, t in enumerate(batch.column(column).to_pylist()):
             words = _tokens(t)
@@ -316,7 +310,7 @@ def _level1(training: DataFrame, text: str, folder: str) -> tuple[int, list[int]
         if seen:
             yield rows()
 
-    words = materialize(training.select(F.col(text).alias("t")).mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    words = materialize(training.select(F.col(text).alias("t")).mapInArrow(tidied(counted), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     types, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     bits = max(0, (types // SHARD_WORDS).bit_length())
     shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
@@ -346,7 +340,7 @@ def _level1(training: DataFrame, text: str, folder: str) -> tuple[int, list[int]
             yield flush()
 
     dealt = words.select(shard.alias("s"), "h", "c").repartition("s").sortWithinPartitions("s", order)
-    sizes = dict(map(tuple, dealt.mapInArrow(write, "shard long, n long").collect()))  # one row for each shard
+    sizes = dict(map(tuple, dealt.mapInArrow(tidied(write), "shard long, n long").collect()))  # one row for each shard
     end = words.where(F.col("h") == int(_hashes([END]).view(np.int64)[0])).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     return bits, [sizes.get(k, 0) for k in range(1 << bits)], total, end
 
@@ -427,8 +421,8 @@ def _level2(training: DataFrame, text: str, model: Model) -> None:
         if held:
             yield flush()
 
-    packed = training.select(F.col(text).alias("t")).mapInArrow(counted, "s long, n long, blob binary")
-    packed.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(write, "n long").agg(F.sum("n")).first()
+    packed = training.select(F.col(text).alias("t")).mapInArrow(tidied(counted), "s long, n long, blob binary")
+    packed.repartition(F.col("s")).sortWithinPartitions("s").mapInArrow(tidied(write), "n long").agg(F.sum("n")).first()
 
 
 def train(training: DataFrame, text: str = "text", smoothing: float = SMOOTHING) -> Model:
@@ -479,8 +473,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                     continue
                 context = shard["contexts"].index(kv[part])
                 part, context = part[context >= 0], context[context >= 0]
+                ends = shard["pointers"].get(np.concatenate([context, context + 1])).astype(np.int64)
+                lo, hi = ends[: len(context)], ends[len(context) :]
                 at = shard["successors"].index(context.astype(_U) * _U(width) + kw[part])
-                hit = at >= 0
+                hit = (at >= lo) & (at < hi)
                 found[part[hit]] = shard["codes"][at[hit]] * -_STEP
             pair = found[back]
             out[ask] = np.where(np.isnan(pair), out[ask], pair)
@@ -498,4 +494,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             )
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
