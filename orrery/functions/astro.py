@@ -97,3 +97,49 @@ def geocentric(xyz: tuple[Column, Column, Column], jd: float) -> tuple[Column, C
 def asteroid_magnitude(h: Column, sun: Column, earth_distance: Column) -> Column:
     """Apparent magnitude without the phase slope."""
     return h + F.log10(sun * earth_distance) * 5.0
+
+
+def hyperbolic_anomaly(m: Column, e: Column, rounds: int = 30) -> Column:
+    """Kepler's equation for a hyperbola by Newton's method, a fixed number of rounds."""
+    start = F.signum(m) * F.log(F.abs(m) * 2.0 / e + 1.8)
+    sinh, cosh = (lambda x: F.sinh(x)), (lambda x: F.cosh(x))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(start.alias("x"), m.alias("m"), e.alias("e")), lambda s, _: F.struct((s["x"] - (s["e"] * sinh(s["x"]) - s["x"] - s["m"]) / (s["e"] * cosh(s["x"]) - 1.0)).alias("x"), s["m"].alias("m"), s["e"].alias("e")))
+    return state["x"]
+
+
+def barker(w: Column) -> Column:
+    """The root s of s^3 / 3 + s = w, for parabolas."""
+    y = F.cbrt((w * 3.0 + F.sqrt(w * w * 9.0 + 4.0)) / 2.0)
+    return y - F.lit(1.0) / y
+
+
+def comet_plane(q: Column, e: Column, days: Column) -> tuple[Column, Column]:
+    """Position in the orbit's plane (x toward perihelion) ``days`` after perihelion, for any eccentricity."""
+    a = q / F.abs(F.lit(1.0) - e)
+    mean = F.lit(GAUSS) * days / F.pow(a, F.lit(1.5))
+    x = eccentric_anomaly(mean, e)
+    h = hyperbolic_anomaly(mean, e)
+    s = barker(F.lit(GAUSS) * days / (F.pow(q, F.lit(1.5)) * 2**0.5) * 1.0)
+    para = F.abs(e - 1.0) < 1e-6
+    px = F.when(para, q * (F.lit(1.0) - s * s)).when(e < 1, a * (F.cos(x) - e)).otherwise(a * (e - F.cosh(h)))
+    py = F.when(para, q * s * 2.0).when(e < 1, a * F.sqrt(F.lit(1.0) - e * e) * F.sin(x)).otherwise(a * F.sqrt(e * e - 1.0) * F.sinh(h))
+    return px, py
+
+
+def turned(px: Column, py: Column, incl: Column, node: Column, argp: Column) -> tuple[Column, Column, Column]:
+    """From the orbit's plane to the ecliptic."""
+    w, o, i = F.radians(argp), F.radians(node), F.radians(incl)
+    x1, y1 = px * F.cos(w) - py * F.sin(w), px * F.sin(w) + py * F.cos(w)
+    return x1 * F.cos(o) - y1 * F.cos(i) * F.sin(o), x1 * F.sin(o) + y1 * F.cos(i) * F.cos(o), y1 * F.sin(i)
+
+
+def comet_magnitude(h: Column, slope: Column, sun: Column, earth_distance: Column) -> Column:
+    return h + F.log10(earth_distance) * 5.0 + slope * 2.5 * F.log10(sun)
+
+
+def sun_place(jd: float) -> tuple[float, float]:
+    """The Sun's right ascension and declination, on the driver."""
+    x, y, z = (-c for c in earth(jd))
+    c, s = math.cos(math.radians(OBLIQUITY)), math.sin(math.radians(OBLIQUITY))
+    yq, zq = y * c - z * s, y * s + z * c
+    return math.degrees(math.atan2(yq, x)) % 360, math.degrees(math.asin(zq / math.sqrt(x * x + yq * yq + zq * zq)))

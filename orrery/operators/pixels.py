@@ -390,3 +390,61 @@ def detect(frames: DataFrame, tile: int = 64, sigma: float = 4.0, area: tuple[in
     s = component_stats(labelled).where(F.col("area").between(*area) & (F.col("elongation") <= elongation))
     w = Window.partitionBy("f").orderBy(F.desc("flux"), "component")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("f", "rank", F.col("cx").alias("x"), F.col("cy").alias("y"), "flux", "peak", "area")
+
+
+def crop_report(frames: DataFrame, width: int, height: int) -> DataFrame:
+    """Coverage by channel (f), its offset from the consensus centre, and whether it is off centre (three channels at least)."""
+    b = coverage(frames).withColumn("cx", (F.col("x0") + F.col("x1")) / 2.0).withColumn("cy", (F.col("y0") + F.col("y1")) / 2.0)
+    c = b.agg(F.median("cx").alias("mx"), F.median("cy").alias("my"), F.count("*").alias("channels"))
+    limit = max(32.0, 0.02 * max(width, height))
+    j = b.crossJoin(F.broadcast(c))  # one row
+    dx, dy = F.col("cx") - F.col("mx"), F.col("cy") - F.col("my")
+    return j.select("f", "n", "x0", "x1", "y0", "y1", dx.alias("dx"), dy.alias("dy"), ((F.col("channels") >= 3) & (F.sqrt(dx * dx + dy * dy) > limit)).alias("off_center"))
+
+
+def protected(frames: DataFrame, ellipse: tuple[float, float, float, float, float] | None = None, polygon: list[tuple[float, float]] | None = None, padding: float = 0.0) -> DataFrame:
+    """Marks pixels inside a region (centre x and y, semi axes, angle in degrees; or corners), grown by a padding."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    inside = F.lit(False)
+    if ellipse:
+        cx, cy, a, b, angle = ellipse
+        c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+        u, v = ((x - cx) * c + (y - cy) * s) / (a + padding), ((y - cy) * c - (x - cx) * s) / (b + padding)
+        inside = u * u + v * v <= 1
+    if polygon:
+        odd, near = F.lit(False), F.lit(float("inf"))
+        for (x0, y0), (x1, y1) in zip(polygon, [*polygon[1:], polygon[0]]):
+            if y0 != y1:
+                crosses = ((y > y0) != (y > y1)) & (x < (y - y0) * ((x1 - x0) / (y1 - y0)) + x0)
+                odd = odd != crosses
+            size = (x1 - x0) ** 2 + (y1 - y0) ** 2
+            t = F.greatest(F.least(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / max(size, 1e-12), F.lit(1.0)), F.lit(0.0))
+            dx, dy = x - (t * (x1 - x0) + x0), y - (t * (y1 - y0) + y0)
+            near = F.least(near, F.sqrt(dx * dx + dy * dy))
+        inside = inside | odd | (near <= padding if padding else F.lit(False))
+    return frames.withColumn("protected", inside)
+
+
+def stretch(images: DataFrame, strategy: str = "linked", target: float = 0.2, clip: float = -2.8) -> DataFrame:
+    """Analyse, resolve, apply: images (f, y, x, c, v) through automatic midtone curves, one for all channels (``linked``), one for
+    each (``unlinked``), or one of the luminance with colours scaled to it (``luminance``). Masked samples become 0."""
+    from ..functions.curves import auto_mtf, mtf_curve, unit
+    from .stats import robust_distribution
+
+    keys = ["f", "c"] if strategy == "unlinked" else ["f"]
+    base = images
+    if strategy == "luminance":
+        base = images.groupBy("f", "y", "x").agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(n) for i, n in enumerate("rgb")]).withColumn("v", luma("rec709"))
+    curve = robust_distribution(base, keys).select(*keys, auto_mtf(F.col("median"), F.col("mad"), target, clip).alias("k"))
+
+    def mapped(v: Column) -> Column:
+        return F.when(F.col("k.identity"), unit(v)).otherwise(mtf_curve(v, F.col("k.shadows"), F.col("k.midtone"), F.col("k.highlights")))
+
+    if strategy != "luminance":
+        return images.join(curve, keys).select("f", "y", "x", "c", F.coalesce(mapped(F.col("v")), F.lit(0.0)).alias("v"))
+    p = base.join(curve, "f").withColumn("to", mapped(F.col("v")))
+    scale = F.least(F.col("to") / F.col("v"), F.lit(1.0) / F.greatest("r", "g", "b"))
+    out = [F.when(F.col("v") > 1e-8, unit(F.col(n) * scale)).otherwise(F.col("to")) for n in "rgb"]
+    whole = F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull()
+    e = p.select("f", "y", "x", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.when(whole, o).otherwise(0.0).alias("v")) for i, o in enumerate(out)])).alias("s"))
+    return e.select("f", "y", "x", "s.c", "s.v")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, images, matches, sequences  # noqa: F401
+from . import catalog, extra, images, matches, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
