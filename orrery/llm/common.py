@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,16 +51,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from one batch to the columns of one batch."""
+def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn``, after whose last batch the worker gives freed memory back: workers outlive their tasks and share an executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
-
-    return df.mapInArrow(run, schema)
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                    ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -133,4 +133,5 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of any item."""
     hits = matches(tokenize(docs), windows(items)).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct()
+    hits = _bounded(materialize(hits, "hits"))  # so few keys need not move the texts
     return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, min_labels
+from .common import components, materialize, min_labels, tidied
 
 COSINE, LEAD, BLOCK, LEAF = 0.93, 6, 1024, 64
 #: Longest vector whose covariance is summed (its square goes to the driver); longer ones keep their given axes.
@@ -52,7 +52,7 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
         if n:
             yield pa.RecordBatch.from_pydict({"i": np.arange(dim + 1), "row": [*total.tolist(), mean.tolist()], "n": np.full(dim + 1, n)})
 
-    parts = vectors.select("v").mapInArrow(sums, "i long, row array<double>, n long")
+    parts = vectors.select("v").mapInArrow(tidied(sums), "i long, row array<double>, n long")
     flat = parts.select("i", "n", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()
     if not flat.num_rows:
         return np.eye(dim)
@@ -144,7 +144,7 @@ def _join(groups: DataFrame, dim: int, eps: float, cosine: float) -> DataFrame:
             cells = np.floor(y[:, :lead] / eps).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"label": batch.column(0), "g": batch.column(1), "w": batch.column(2), "x": [r.tobytes() for r in y], "cell": cells.tolist()})
 
-    placed = groups.select("label", "g", "w", "v").mapInArrow(place, "label string, g long, w long, x binary, cell array<long>")
+    placed = groups.select("label", "g", "w", "v").mapInArrow(tidied(place), "label string, g long, w long, x binary, cell array<long>")
     order = [F.col("label"), *[F.col("cell")[i] for i in range(lead)], F.col("g")]
 
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def _join(groups: DataFrame, dim: int, eps: float, cosine: float) -> DataFrame:
             yield block()
 
     blocks = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "g", "w", "x")
-    blocks = materialize(blocks.mapInArrow(intervals, "label string, id long, g array<long>, w array<long>, x binary, lo array<double>, hi array<double>"), "intervals")
+    blocks = materialize(blocks.mapInArrow(tidied(intervals), "label string, id long, g array<long>, w array<long>, x binary, lo array<double>, hi array<double>"), "intervals")
     # intervals that may come within eps: those sharing a strip of the first axis, then a test of the whole boxes
     box = blocks.select("label", "id", "lo", "hi")
     strip = lambda c: F.floor(c / eps).cast("long")
@@ -196,4 +196,4 @@ def _join(groups: DataFrame, dim: int, eps: float, cosine: float) -> DataFrame:
                 hit = np.flatnonzero(n)
                 yield pa.RecordBatch.from_pydict({"g": pa.array(np.concatenate([g[hit], g[root]])), "n": pa.array(np.concatenate([n[hit], np.zeros(len(root), np.int64)])), "other": pa.array(np.concatenate([g[hit], g[other]]))})
 
-    return met.mapInArrow(meet, "g long, n long, other long")
+    return met.mapInArrow(tidied(meet), "g long, n long, other long")

@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 DIM = 1024
 #: Languages at most: the prototypes go to every task, DIM doubles each.
 MAX_LANGUAGES = 4096
 _PIECE = 1 << 18
 _BLOCK = 2048
+_ROWS = 500
 _letter: dict[str, np.ndarray] = {}
 _vectors: dict[int, np.ndarray] = {}
 
@@ -120,7 +123,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(lo, _ROWS) for b in batches for lo in range(0, b.num_rows, _ROWS)):
             vectors = bundle(batch.column(0).to_pylist())
             langs = np.array(batch.column(1).to_pylist(), object)
             for name in set(langs):
@@ -130,45 +133,46 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
         if total:
             yield pa.RecordBatch.from_pydict({"lang": list(total), "proto": [v.tolist() for v in total.values()]}, schema=pa.schema([("lang", pa.string()), ("proto", pa.list_(pa.float64()))]))
 
-    partial = source.mapInArrow(sums, "lang string, proto array<double>")
+    partial = source.mapInArrow(tidied(sums), "lang string, proto array<double>")
     summed = partial.select("lang", F.posexplode("proto").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
     return summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("proto"))
 
 
-def _scored(docs: DataFrame, prototypes: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``keep`` as k0, k1 and so on, with lang_pred and score."""
-    rows = prototypes.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = [r["lang"] for r in rows]
-    matrix = np.array([r["proto"] for r in rows], np.float64).reshape(len(rows), DIM)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
-    out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"k{i} {kinds[c]}" for i, c in enumerate(keep))
+class _Prototypes:
+    """The learnt languages as tasks get them: names and unit vectors, ``MAX_LANGUAGES`` at most."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
-        for batch in batches:
-            vectors = bundle(batch.column(len(keep)).to_pylist())
-            norm = np.linalg.norm(vectors, axis=1)
-            if names:
-                cosine = vectors @ matrix.T / np.maximum(norm, 1e-300)[:, None]
-                best = cosine.argmax(1)
-                found = np.where(norm > 0, np.array(names, object)[best], "und")
-                score = np.where(norm > 0, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
-            else:
-                found, score = np.full(len(norm), "und", object), np.zeros(len(norm))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(found.tolist(), pa.string()), pa.array(score)], names=[*[f"k{i}" for i in range(len(keep))], "lang_pred", "score"])
-
-    return out.mapInArrow(run, schema + ", lang_pred string, score double")
+    def __init__(self, prototypes: DataFrame) -> None:
+        rows = prototypes.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+        if len(rows) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        self.names = [r["lang"] for r in rows]
+        matrix = np.array([r["proto"] for r in rows], np.float64).reshape(len(rows), DIM)
+        self.matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The best language and its cosine (0 at least) for each text."""
+        vectors = bundle(texts)
+        norm = np.linalg.norm(vectors, axis=1)
+        if not self.names:
+            return np.full(len(norm), "und", object), np.zeros(len(norm))
+        cosine = vectors @ self.matrix.T / np.maximum(norm, 1e-300)[:, None]
+        best = cosine.argmax(1)
+        return np.where(norm > 0, np.array(self.names, object)[best], "und"), np.where(norm > 0, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
 
 
 def predict(docs: DataFrame, prototypes: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred string and score double (the cosine, 0 at least)."""
-    done = _scored(docs, prototypes, keep, text)
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(_Prototypes(prototypes))
+    kinds, names = dict(docs.dtypes), [f"k{i}" for i in range(len(keep))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, _ROWS) for b in batches for lo in range(0, b.num_rows, _ROWS)):
+            found, score = shared.value.score(batch.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(found.tolist(), pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+
+    out = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("t"))
+    done = out.mapInArrow(tidied(run), ", ".join(f"{n} {kinds[c]}" for c, n in zip(keep, names)) + ", lang_pred string, score double")
+    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
 
 
 def identify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame:
@@ -177,6 +181,15 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame
 
 
 def accept(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that resemble a learnt language: not ``und``, cosine above 0."""
-    done = _scored(docs, train(labelled), docs.columns, text).where("lang_pred <> 'und' and score > 0")
-    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """The rows of ``docs``, all columns, that resemble a learnt language: not ``und``, cosine above 0. Only texts go to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(_Prototypes(train(labelled)))
+
+    @F.arrow_udf("boolean")
+    def resembles(texts: pa.Array) -> pa.Array:
+        parts = []
+        for lo in range(0, len(texts), _ROWS):
+            found, score = shared.value.score(texts.slice(lo, _ROWS).to_pylist())
+            parts.append((found != "und") & (score > 0))
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
+
+    return docs.where(resembles(F.col(text)))

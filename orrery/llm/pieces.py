@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_CACHE = 350_000
+_CACHE = 250_000
 _LONGEST = 64
 _ROWS = 500
 _INF = float("inf")
@@ -331,7 +333,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists, pa.array(sha), pa.array(same)], names=["doc_id", "n_pieces", "ids", "ids_sha256", "round_trip"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, ids_sha256 string, round_trip boolean")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidied(run), f"doc_id {kind}, n_pieces long, ids array<int>, ids_sha256 string, round_trip boolean")
 
 
 def decode(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -343,4 +345,4 @@ def decode(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.decode(i or []) for i in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     kind = dict(rows.dtypes)[doc_id]
-    return rows.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("i")).mapInArrow(run, f"doc_id {kind}, text string")
+    return rows.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("i")).mapInArrow(tidied(run), f"doc_id {kind}, text string")

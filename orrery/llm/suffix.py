@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidied
 
 MATCH, K, SHALLOW = 400, 128, 32
 SIDE = MATCH - K
 #: Different surroundings of one anchor at most that a task sorts.
 HOT = 100_000
 _SEGMENT = 1 << 20
+#: Keys of cut texts at most for a broadcast (some 5 MB).
+BROADCAST_ROWS = 300_000
 _ODD = 0x9E3779B97F4A7C15
 _NULL = -(1 << 63)
 #: Kinds of rows that are dealt by hash: an anchor, one that stands for several of its text, a span of settled bytes.
@@ -325,7 +327,7 @@ class _Keys:
                 yield batch.filter(pa.array(table.value[bit >> 6] >> (bit & 63) & 1 == 1))
 
         self_bits = self.BITS
-        return docs.mapInArrow(run, "did long, th long, text binary")
+        return docs.mapInArrow(tidied(run), "did long, th long, text binary")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -418,8 +420,8 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """(did, th, lo long, hi long) over keyed texts: together all bytes to remove; ranges may overlap and pass a text's ends."""
     hot = HOT if hot is None else hot
-    found = docs.mapInArrow(_find_anchors, "did long, th long, pos long, h long, c1 long, c2 long, kind long")
-    marks = materialize(found.repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_classify, "did long, th long, lo long, hi long, pos long, h long, role tinyint"), "repeats")
+    found = docs.mapInArrow(tidied(_find_anchors), "did long, th long, pos long, h long, c1 long, c2 long, kind long")
+    marks = materialize(found.repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(tidied(_classify), "did long, th long, lo long, hi long, pos long, h long, role tinyint"), "repeats")
     settled = marks.where("role < 2").select("did", "th", "lo", "hi")
     open_ = marks.where("role > 0")
     large = open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h")
@@ -431,10 +433,10 @@ def repeated_ranges(docs: DataFrame, hot: int | None = None) -> DataFrame:
         return texts.join(wants, ["did", "th"]).select("did", "th", "text", "wants")
 
     usual = open_.join(large, "h", "left_anti") if any_large else open_
-    around = with_text(usual).mapInArrow(_surroundings, "did long, th long, pos long, h long, before binary, after binary")
-    out = settled.union(around.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups, "did long, th long, lo long, hi long"))
+    around = with_text(usual).mapInArrow(tidied(_surroundings), "did long, th long, pos long, h long, before binary, after binary")
+    out = settled.union(around.repartition("h").sortWithinPartitions("h").mapInArrow(tidied(_sort_groups), "did long, th long, lo long, hi long"))
     if any_large:
-        windows = with_text(open_.join(large, "h", "left_semi")).mapInArrow(_window_hashes, "did long, th long, lo long, w1 long, w2 long")
+        windows = with_text(open_.join(large, "h", "left_semi")).mapInArrow(tidied(_window_hashes), "did long, th long, lo long, w1 long, w2 long")
         windows = materialize(windows, "windows")
         again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         out = out.union(windows.join(again, ["w1", "w2"]).select("did", "th", "lo", (F.col("lo") + MATCH).alias("hi")))
@@ -468,7 +470,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ranges = repeated_ranges(keyed, hot)
     by_text = ranges.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     texts = _Keys(ranges).among(keyed).dropDuplicates(["did", "th"])
-    return texts.join(by_text, ["did", "th"]).select("did", "th", "text", "ranges").mapInArrow(_cut, "did long, th long, n_removed long, n_spans long, kept binary")
+    return texts.join(by_text, ["did", "th"]).select("did", "th", "text", "ranges").mapInArrow(tidied(_cut), "did long, th long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int | None = None) -> DataFrame:
@@ -490,7 +492,13 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()], pa.string())], names=["__did", "__th", "__kept"])
 
-    cut = cut.mapInArrow(decode, "__did long, __th long, __kept string")
+    cut = cut.mapInArrow(tidied(decode), "__did long, __th long, __kept string")
+    cut = materialize(cut, "cut-texts")
     keyed = docs.withColumns({"__did": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)), "__th": F.xxhash64(whole)})
-    joined = keyed.join(cut, ["__did", "__th"], "left").withColumn(text, F.coalesce(F.col("__kept"), F.col(text)))
-    return joined.select(*docs.columns)
+    key = ["__did", "__th"]
+    changed = F.coalesce(F.col("__kept"), F.col(text))
+    if cut.count() > BROADCAST_ROWS:
+        return keyed.join(cut, key, "left").withColumn(text, changed).select(*docs.columns)
+    keys = F.broadcast(cut.select(*key))  # so few keys need not move the texts that stay whole
+    moved = keyed.join(keys, key, "left_semi").join(cut, key).withColumn(text, changed)
+    return keyed.join(keys, key, "left_anti").select(*docs.columns).unionByName(moved.select(*docs.columns))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 BITS = 20
 BUCKETS = 1 << BITS
 SAMPLE = 16_000
@@ -82,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "w": w[at]})
 
-    found = rows.mapInArrow(extract, "o long, y int, f binary").repartition(1).sortWithinPartitions("o", "y", "f").mapInArrow(fit, "at int, w double").toArrow()
+    found = rows.mapInArrow(tidied(extract), "o long, y int, f binary").repartition(1).sortWithinPartitions("o", "y", "f").mapInArrow(tidied(fit), "at int, w double").toArrow()
     return found.column("at").to_numpy(), found.column("w").to_numpy()
 
 
@@ -99,5 +101,5 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], doc_id: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -700, 700))))], names=["doc_id", "score"])
 
     kind = dict(docs.dtypes)[doc_id]
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, score double")
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidied(run), f"doc_id {kind}, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
