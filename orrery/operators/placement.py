@@ -37,25 +37,58 @@ def objects_in_footprint(objects: DataFrame, wcs: Wcs, width: int, height: int)
     return p.withColumn("angle_deg", F.when(F.coalesce(oriented, F.lit(False)), angle)).orderBy(F.desc("semi_major_px"), "id")
 
 
+def _orbit(kind: np.ndarray, epoch: np.ndarray, size: np.ndarray, e: np.ndarray, incl: np.ndarray, node: np.ndarray, argp: np.ndarray, m0: np.ndarray, jd: np.ndarray) -> np.ndarray:
+    """Heliocentric ecliptic positions (n, 3) of bodies on orbits of any shape; comets count from perihelion."""
+    comet = kind == "comet"
+    q = np.where(comet, size, size * (1 - e))
+    with np.errstate(all="ignore"):
+        a = q / np.abs(1 - e)
+        n = astro.GAUSS / a**1.5
+        days = jd - epoch + np.where(comet, 0, np.radians(m0) / n)
+        mean = n * days
+        m = np.mod(mean + np.pi, 2 * np.pi) - np.pi
+        x = m + 0.85 * e * np.sign(m)
+        h = np.sign(mean) * np.log(2 * np.abs(mean) / np.maximum(e, 1e-9) + 1.8)
+        for _ in range(60):
+            x = x - (x - e * np.sin(x) - m) / (1 - e * np.cos(x))
+            h = h - (e * np.sinh(h) - h - mean) / (e * np.cosh(h) - 1)
+        w = 3 * astro.GAUSS * days / (q**1.5 * 2**0.5)
+        y = np.cbrt((w + np.sqrt(w * w + 4)) / 2)
+        s = y - 1 / y
+        flat, closed = np.abs(e - 1) < 1e-6, e < 1
+        px = np.where(flat, q * (1 - s * s), np.where(closed, a * (np.cos(x) - e), a * (e - np.cosh(h))))
+        py = np.where(flat, 2 * q * s, np.where(closed, a * np.sqrt(np.abs(1 - e * e)) * np.sin(x), a * np.sqrt(np.abs(e * e - 1)) * np.sinh(h)))
+    w, o, i = np.radians(argp), np.radians(node), np.radians(incl)
+    x1, y1 = px * np.cos(w) - py * np.sin(w), px * np.sin(w) + py * np.cos(w)
+    return np.stack([x1 * np.cos(o) - y1 * np.cos(i) * np.sin(o), x1 * np.sin(o) + y1 * np.cos(i) * np.cos(o), y1 * np.sin(i)], -1)
+
+
 def body_places(bodies: DataFrame, jd: float) -> DataFrame:
-    """Geocentric places of bodies (the reader's columns) with one step of light-time: ra, dec, mag, distance."""
-
-    def placed(df: DataFrame, at) -> DataFrame:
-        a, e = F.col("q_or_a"), F.col("eccentricity")
-        mean_days = F.when(F.col("kind") == "comet", at - F.col("epoch_jd")).otherwise(at - F.col("epoch_jd") + F.radians("mean_anomaly_deg") / (F.lit(astro.GAUSS) / F.pow(a, F.lit(1.5))))
-        q = F.when(F.col("kind") == "comet", a).otherwise(a * (F.lit(1.0) - e))
-        px, py = astro.comet_plane(q, e, mean_days)
-        x, y, z = astro.turned(px, py, F.col("inclination_deg"), F.col("node_deg"), F.col("arg_perihelion_deg"))
-        return df.withColumn("hx", x).withColumn("hy", y).withColumn("hz", z)
-
-    first = placed(bodies, F.lit(jd))
-    _, _, far = astro.geocentric((F.col("hx"), F.col("hy"), F.col("hz")), jd)
-    again = placed(first.withColumn("late", F.lit(jd) - far / astro.LIGHT_DAY), F.col("late"))
-    ra, dec, dist = astro.geocentric((F.col("hx"), F.col("hy"), F.col("hz")), jd)
-    sun = F.sqrt(F.col("hx") * F.col("hx") + F.col("hy") * F.col("hy") + F.col("hz") * F.col("hz"))
-    out = again.withColumn("ra", ra).withColumn("dec", dec).withColumn("distance", dist).withColumn("sun", sun)
-    mag = F.when(F.col("kind") == "comet", astro.comet_magnitude(F.col("h_mag"), F.col("slope"), F.col("sun"), F.col("distance"))).otherwise(astro.asteroid_magnitude(F.col("h_mag"), F.col("sun"), F.col("distance")))
-    return out.withColumn("mag", mag).drop("hx", "hy", "hz", "late", "sun")
+    """Geocentric places of bodies (the reader's columns) with one step of light-time: ra, dec, distance, mag beside their columns.
+    A narrow map; bodies whose orbit gives no place go."""
+    import pyarrow as pa
+
+    from ..sources.catalogs import BODY
+
+    def run(batches):
+        ground = np.array(astro.earth(jd))
+        c, s = math.cos(math.radians(astro.OBLIQUITY)), math.sin(math.radians(astro.OBLIQUITY))
+        for batch in batches:
+            col = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(BODY))]
+            num = [np.asarray(v, np.float64) for v in col[2:9]]
+            first = np.linalg.norm(_orbit(col[0], *num, jd) - ground, axis=1)
+            sun = _orbit(col[0], *num, jd - first / astro.LIGHT_DAY)
+            d = sun - ground
+            x, y, z = d[:, 0], d[:, 1] * c - d[:, 2] * s, d[:, 1] * s + d[:, 2] * c
+            far, r = np.linalg.norm(d, axis=1), np.linalg.norm(sun, axis=1)
+            with np.errstate(all="ignore"):
+                mag = col[9] + 5 * np.log10(far) + np.where(col[0] == "comet", 2.5 * col[10] * np.log10(r), 5 * np.log10(r))
+                places = [np.degrees(np.arctan2(y, x)) % 360, np.degrees(np.arcsin(z / far)), far, mag]
+            ok = pa.array(np.isfinite(far))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, places)], names=[*BODY, "ra", "dec", "distance", "mag"]).filter(ok)
+
+    typed = bodies.select("kind", "name", *[F.col(k).cast("double").alias(k) for k in BODY[2:]])
+    return typed.mapInArrow(run, "kind string, name string, " + ", ".join(f"{k} double" for k in (*BODY[2:], "ra", "dec", "distance", "mag")))
 
 
 def bodies_in_footprint(bodies: DataFrame, jd: float, wcs: Wcs, width: int, height: int, max_mag: float | None = None) -> DataFrame:
