@@ -38,7 +38,7 @@ SMOOTHING = 1000.0
 #: Tokens of level 1 and pairs of level 2 in a shard, about.
 SHARD_WORDS, SHARD_PAIRS = 2_000_000, 2_000_000
 #: Tokens that a task looks up or counts together.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 _ROWS = 500
 END = b" "
 _STEP = 16 / 65535
