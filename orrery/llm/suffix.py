@@ -335,6 +335,34 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("did"), F.xxhash64(whole).alias("th"), whole.cast("binary").alias("text"))
 
 
+def _span_rows(did: np.ndarray, th: np.ndarray, who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Settled spans as rows that are dealt evenly."""
+    key = (th[who].view(np.uint64) ^ (lo.astype(np.uint64) * np.uint64(_ODD))).view(np.int64)
+    return pa.RecordBatch.from_pydict({"did": did[who], "th": th[who], "pos": lo, "h": key, "c1": hi, "c2": np.zeros(len(who), np.int64), "kind": np.full(len(who), _SPAN)})
+
+
+def _thin_runs(who: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Thins the anchors of periodic runs: which anchors stay, and the runs' settled spans (text, lo, hi).
+
+    Anchors with one hash at equal gaps d of K bytes at most lie in text of period d. If the run is long enough, a window
+    strictly inside recurs d bytes to its left or right; one that is not holds the run's first or last anchor. So those two
+    stay, with two from the middle whose surroundings lie in the run and stand for all windows inside, here and elsewhere.
+    """
+    n = len(who)
+    gap = np.where((np.diff(who) == 0) & (np.diff(h.view(np.int64)) == 0), np.diff(pos), 0) if n > 1 else np.zeros(0, np.int64)
+    gap = np.where(gap <= K, gap, 0)
+    keep, runs = np.ones(n, bool), []
+    edges = np.flatnonzero(np.concatenate([[True], gap[1:] != gap[:-1], [True]])) if len(gap) else np.zeros(0, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        d = int(gap[a]) if a < len(gap) else 0
+        if d and int(pos[b] - pos[a]) + K >= MATCH + SIDE + 2 * d:
+            m = (a + b) // 2
+            keep[a + 1 : b] = False
+            keep[[m, m + 1]] = True
+            runs.append((who[a], pos[a] + 1, pos[b] + K - 1))
+    return keep, np.array(runs, np.int64).reshape(-1, 3)
+
+
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The anchors of each text. Those of one text with equal surroundings are settled here: one stands for all, and the
     bytes around them come as spans (pos, c1), so that a text that repeats itself deals out little under one hash."""
@@ -343,6 +371,10 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(who):
             continue
         did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        keep, runs = _thin_runs(who, pos, h)
+        if len(runs):
+            yield _span_rows(did, th, *runs.T)
+            who, pos, h, around = who[keep], pos[keep], h[keep], around[keep]
         c1, c2 = around[:, 0].view(np.int64), around[:, 1].view(np.int64)
         order = np.lexsort((pos, c2, c1, who))
         new = np.concatenate([[True], (np.diff(who[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)])
@@ -356,9 +388,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             w, lo, hi = who[members], np.maximum(pos[members] - SIDE, 0), pos[members] + MATCH
             cut = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (lo[1:] > hi[:-1])]))
             end = np.append(cut[1:], len(w)) - 1
-            zero = np.zeros(len(cut), np.int64)
-            key = (th[w[cut]].view(np.uint64) ^ (lo[cut].astype(np.uint64) * np.uint64(_ODD))).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"did": did[w[cut]], "th": th[w[cut]], "pos": lo[cut], "h": key, "c1": hi[end], "c2": zero, "kind": np.full(len(cut), _SPAN)})
+            yield _span_rows(did, th, w[cut], lo[cut], hi[end])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -460,6 +460,21 @@ def test_suffix_long_texts_and_rows(spark, monkeypatch):
     assert suffix.digest(docs.limit(0)).count() == 0 and suffix.digest(docs.union(docs)).count() == 2 * len(texts)
 
 
+@pytest.mark.parametrize("hot", [None, 3])
+def test_suffix_periodic_runs(spark, hot):
+    rng = random.Random(17)
+    text = lambda k: "".join(rng.choice("ab cdé") for _ in range(k))
+    units = ["To ", "Des. ", "xy", "q", "Is onhe. ", "a longer period of some forty bytes.. "]
+    texts = []
+    for _ in range(70):
+        u = rng.choice(units)
+        t = text(rng.randrange(250)) + u * rng.choice([20, 60, 100, 150, 300]) + text(rng.choice([0, 40, 300]))
+        texts.append(t + u * rng.choice([0, 0, 70]))
+    texts += [texts[3][:900], texts[4][50:], "Des. " * 300, "xDes. " + "Des. " * 200 + "y", "zz" + "q" * 1500]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.digest(docs_of(spark, texts), hot=hot).collect()}
+    assert got == dict(enumerate(slow_suffix(texts)))
+
+
 def test_deep_shallow_sort():
     rng = random.Random(15)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.choice([10, 40, 60]))) for _ in range(150)]
