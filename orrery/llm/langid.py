@@ -4,6 +4,11 @@ Every letter has a pseudo-random vector of +1 and -1. A letter trigram is bound
 two letters and multiplying the three; a text is the bundle (sum) of its trigrams, a language the bundle of its
 training texts. A text takes the language whose prototype has the largest cosine with it.
 
+``accept`` keeps a text only where two bounds hold. Its cosine is ``FLOOR`` at least: two unrelated texts have cosines of
+deviation 1 / sqrt(DIM) = 0.031 whatever their lengths, so 0.15 is 4.8 deviations. And its resemblance is ``SHARE`` at
+least: the mean weight that the language gives the text's trigrams, divided by the same mean over the language's own
+training texts, which is thus 1 for them, long or short. Texts too short to rise above the floor go.
+
 Defined results: a null text, or one without a letter, gives ``und`` and score 0. A text is read whole, in pieces of
 bounded memory. Equal cosines go to the language first in code point order. Repeated rows count as often as they
 occur. Without a labelled text every text is ``und``. Other columns are ignored, or carried along under their names.
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import tidied
 
 DIM = 1024
+#: The least cosine and the least resemblance (training texts: 1 on average) of a text in a learnt language.
+FLOOR, SHARE = 0.15, 0.4
 #: Languages at most: the prototypes go to every task, DIM doubles each.
 MAX_LANGUAGES = 4096
 _PIECE = 1 << 18
@@ -86,7 +93,13 @@ def _bundle_piece(code: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
 
 def bundle(texts: list[str | None]) -> np.ndarray:
     """One row for each text: the sum of its trigrams' vectors."""
+    return _bundle(texts)[0]
+
+
+def _bundle(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bundles and the number of trigrams (one for each letter) of each text."""
     out = np.zeros((len(texts), DIM), np.float64)
+    letters = np.zeros(len(texts), np.int64)
     is_letter = _is_letter()
     codes: list[np.ndarray] = []
     owners: list[np.ndarray] = []
@@ -105,6 +118,7 @@ def bundle(texts: list[str | None]) -> np.ndarray:
             continue
         code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         code = np.where(is_letter[code], code, 0)
+        letters[i] = np.count_nonzero(code)
         code = code[np.concatenate([[True], (code[1:] != 0) | (code[:-1] != 0)])]
         for lo in range(0, max(1, len(code) - 2), _PIECE):
             part = code[lo : lo + _PIECE + 2]  # pieces share two letters, so no trigram is lost or doubled
@@ -114,28 +128,30 @@ def bundle(texts: list[str | None]) -> np.ndarray:
             if held >= _PIECE:
                 flush()
     flush()
-    return out
+    return out, letters
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Prototypes (lang string, proto array<double>): each language's bundle over all rows whose text and language are set."""
+    """Prototypes (lang string, proto array<double>, letters long): each language's bundle, and its trigrams, over all rows whose text and language are set."""
     source = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+        count: dict[str, int] = {}
         for batch in (b.slice(lo, _ROWS) for b in batches for lo in range(0, b.num_rows, _ROWS)):
-            vectors = bundle(batch.column(0).to_pylist())
+            vectors, letters = _bundle(batch.column(0).to_pylist())
             langs = np.array(batch.column(1).to_pylist(), object)
             for name in set(langs):
                 total[name] = total.get(name, 0) + vectors[langs == name].sum(0)
+                count[name] = count.get(name, 0) + int(letters[langs == name].sum())
             if len(total) > MAX_LANGUAGES:
                 raise ValueError(f"more than {MAX_LANGUAGES} languages")
         if total:
-            yield pa.RecordBatch.from_pydict({"lang": list(total), "proto": [v.tolist() for v in total.values()]}, schema=pa.schema([("lang", pa.string()), ("proto", pa.list_(pa.float64()))]))
+            yield pa.RecordBatch.from_pydict({"lang": list(total), "proto": [v.tolist() for v in total.values()], "letters": [count[k] for k in total]}, schema=pa.schema([("lang", pa.string()), ("proto", pa.list_(pa.float64())), ("letters", pa.int64())]))
 
-    partial = source.mapInArrow(tidied(sums), "lang string, proto array<double>")
-    summed = partial.select("lang", F.posexplode("proto").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
-    return summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("proto"))
+    partial = source.mapInArrow(tidied(sums), "lang string, proto array<double>, letters long")
+    summed = partial.select("lang", "letters", F.posexplode("proto").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"), F.sum("letters").alias("letters"))
+    return summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("proto"), F.max("letters").alias("letters"))
 
 
 class _Prototypes:
@@ -147,17 +163,30 @@ class _Prototypes:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
         self.names = [r["lang"] for r in rows]
         matrix = np.array([r["proto"] for r in rows], np.float64).reshape(len(rows), DIM)
-        self.matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        norm = np.linalg.norm(matrix, axis=1)
+        self.matrix = matrix / np.maximum(norm, 1e-300)[:, None]
+        self.own = norm / np.maximum([r["letters"] for r in rows], 1)  # a trigram's mean product with its own language's unit vector
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The best language and its cosine (0 at least) for each text."""
-        vectors = bundle(texts)
+        return self._best(bundle(texts))[:2]
+
+    def resembles(self, texts: list[str | None]) -> np.ndarray:
+        """Whether each text is in a learnt language: cosine ``FLOOR`` and resemblance ``SHARE`` at least."""
+        vectors, letters = _bundle(texts)
+        found, score, best = self._best(vectors)
+        if not self.names:
+            return np.zeros(len(texts), bool)
+        share = score * np.linalg.norm(vectors, axis=1) / np.maximum(letters * self.own[best], 1e-300)
+        return (found != "und") & (score >= FLOOR) & (share >= SHARE)
+
+    def _best(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         norm = np.linalg.norm(vectors, axis=1)
         if not self.names:
-            return np.full(len(norm), "und", object), np.zeros(len(norm))
+            return np.full(len(norm), "und", object), np.zeros(len(norm)), np.zeros(len(norm), int)
         cosine = vectors @ self.matrix.T / np.maximum(norm, 1e-300)[:, None]
         best = cosine.argmax(1)
-        return np.where(norm > 0, np.array(self.names, object)[best], "und"), np.where(norm > 0, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
+        return np.where(norm > 0, np.array(self.names, object)[best], "und"), np.where(norm > 0, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0), best
 
 
 def predict(docs: DataFrame, prototypes: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -181,15 +210,16 @@ def identify(docs: DataFrame, labelled: DataFrame, keep: list[str]) -> DataFrame
 
 
 def accept(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that resemble a learnt language: not ``und``, cosine above 0. Only texts go to Python."""
+    """The rows of ``docs``, all columns, in a learnt language (``FLOOR`` and ``SHARE``). Only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(_Prototypes(train(labelled)))
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [shared.value.resembles(texts.slice(lo, _ROWS).to_pylist()) for lo in range(0, len(texts), _ROWS)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
+
     @F.arrow_udf("boolean")
-    def resembles(texts: pa.Array) -> pa.Array:
-        parts = []
-        for lo in range(0, len(texts), _ROWS):
-            found, score = shared.value.score(texts.slice(lo, _ROWS).to_pylist())
-            parts.append((found != "und") & (score > 0))
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool), pa.bool_())
+    def resembles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(run)(batches)
 
     return docs.where(resembles(F.col(text)))

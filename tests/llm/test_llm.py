@@ -95,6 +95,25 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= set(range(30))
 
 
+def test_language_id_rejects_languages_never_learnt(spark):
+    rng = random.Random(6)
+
+    def language(alphabet):
+        words = ["".join(rng.choices(alphabet, k=rng.randint(2, 8))) for _ in range(150)]
+        return lambda k: " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(150)], k=k))
+
+    latin = "etaoinshrdlu"
+    own = [language(latin), language(latin)]
+    foreign = [language([chr(c) for c in range(a, b)]) for a, b in ((0x430, 0x450), (0x3B1, 0x3CA), (0x627, 0x648), (0xE01, 0xE2E), (0x5D0, 0x5EB), (0x4E00, 0x4F00))] + [language(latin)]
+    learnt = docs_of(spark, [own[i % 2](60) for i in range(60)], [("aa", "bb")[i % 2] for i in range(60)])
+    mine = [own[i % 2](k) for i in range(20) for k in (20, 60, 200)]
+    strange = [f(k) for f in foreign for k in (1, 5, 20, 60, 200) for _ in range(8)]
+    strange += ["Все люди рождаются свободными и равными", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", *EDGES[:4]]
+    kept = {r["doc_id"] for r in langid.accept(docs_of(spark, mine + strange), learnt).collect()}
+    assert kept == set(range(len(mine)))
+    assert langid.accept(learnt, learnt).count() == 60 and langid.accept(learnt, learnt.limit(0)).count() == 0
+
+
 def test_language_id_without_training(spark):
     docs = docs_of(spark, ["some text", None])
     assert [tuple(r) for r in langid.identify(docs, docs, ["doc_id"]).orderBy("doc_id").collect()] == [(0, "und", 0.0), (1, "und", 0.0)]
