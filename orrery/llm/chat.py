@@ -6,8 +6,8 @@ follow. Rendering: ``<s>``, then for each message ``[INST] role [/INST]text</s>`
 and ``[`` are written ``&amp;``, ``&lt;`` and ``&lbr;``, so no control string can arise there, and ``parse`` reads
 back what went in. The loss mask covers the assistant's texts; it is kept as runs of lengths.
 
-A message is rendered before rows meet; a conversation's pieces are joined in blocks of ``BLOCK`` turns first, then
-whole, so that a long conversation meets as few rows.
+A message is rendered before rows meet; a turn's pieces are joined in blocks of ``BLOCK`` messages, these in
+blocks of ``BLOCK`` turns, these whole, so that a long conversation meets as few rows.
 
 Defined results: a null text or role is empty; null kinds are messages; messages of one turn keep the order of
 sequence, role and text, and repeated rows stay; a null turn comes first; a delta without a message begins one; an
@@ -52,17 +52,23 @@ def reconstruct(events: DataFrame) -> DataFrame:
     return e.groupBy("conv_id", "turn", "msg").agg(steps.alias("steps")).select("conv_id", "turn", "msg", F.col("steps")[0]["role"].alias("role"), folded.alias("text"))
 
 
+def _sum(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, n_turns long, formatted string, loss array<struct<masked boolean, chars int>> (runs over ``formatted``, in order)."""
     role, text = escape(F.col("role")), escape(F.col("text"))
     run = lambda masked, chars: F.struct(masked.alias("masked"), chars.alias("chars"))
     piece = messages.select("conv_id", "turn", "msg", F.concat(F.lit(OPEN), role, F.lit(CLOSE)).alias("head"), text.alias("body"), (F.col("role") == ASSISTANT).alias("masked"))
     piece = piece.select("conv_id", "turn", "msg", F.concat("head", "body", F.lit(EOS)).alias("piece"), F.array(run(F.lit(False), F.char_length("head")), run(F.col("masked"), F.char_length("body")), run(F.lit(False), F.lit(len(EOS)))).alias("runs"))
-    block = piece.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("b1"), F.floor(F.col("msg") / BLOCK).alias("b2")).agg(F.array_sort(F.collect_list(F.struct("turn", "msg", "piece", "runs"))).alias("p"))
-    block = block.select("conv_id", F.struct(F.col("p")[0]["turn"].alias("turn"), F.col("p")[0]["msg"].alias("msg"), F.array_join(F.col("p.piece"), "").alias("piece"), F.flatten("p.runs").alias("runs"), F.size("p").cast("long").alias("n")).alias("p"))
-    whole = block.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    piece = piece.withColumn("n", F.lit(1).cast("long"))
+    for keys in (["turn", F.floor(F.col("msg") / BLOCK).alias("b")], [F.floor(F.col("turn") / BLOCK).alias("b")]):
+        joined = piece.groupBy("conv_id", *keys).agg(F.array_sort(F.collect_list(F.struct("turn", "msg", "piece", "runs", "n"))).alias("p"))
+        piece = joined.select("conv_id", F.col("p")[0]["turn"].alias("turn"), F.col("p")[0]["msg"].alias("msg"), F.array_join(F.col("p.piece"), "").alias("piece"), F.flatten("p.runs").alias("runs"), _sum(F.col("p.n")).alias("n"))
+    whole = piece.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "msg", "piece", "runs", "n"))).alias("p"))
     first = F.array(run(F.lit(False), F.lit(len(BOS))))
-    return whole.select("conv_id", F.aggregate("p.n", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_turns"), F.concat(F.lit(BOS), F.array_join(F.col("p.piece"), "")).alias("formatted"), F.concat(first, F.flatten("p.runs")).alias("loss"))
+    return whole.select("conv_id", _sum(F.col("p.n")).alias("n_turns"), F.concat(F.lit(BOS), F.array_join(F.col("p.piece"), "")).alias("formatted"), F.concat(first, F.flatten("p.runs")).alias("loss"))
 
 
 def parse(formatted: Column) -> Column:

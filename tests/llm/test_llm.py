@@ -431,6 +431,18 @@ def test_chat_long_conversation(spark):
     assert r["n_turns"] == 1000 and r["turns_sha256"] == hashlib.sha256("".join(f"{'user' if i % 2 == 0 else 'assistant'}\nt{i}\n" for i in range(1000)).encode()).hexdigest()
 
 
+def test_chat_many_messages_of_one_turn(spark):
+    want = [(turn, i) for turn, n in ((None, 70), (-1, 2), (0, 100), (1, 1), (2, 200), (3, 3), (64, 130), (65, 1)) for i in range(n)]
+    events = [(1, turn, i // 2, "message", "user" if i % 3 else "assistant", f"t{turn} {i // 2:03d}") for turn, i in want]
+    order = sorted(events, key=lambda e: (e[1] is not None, e[1] or 0, e[2], e[4], e[5]))
+    random.Random(1).shuffle(events)
+    formatted = chat.format_events(spark.createDataFrame(events, "conv_id long, turn long, seq long, kind string, role string, text string"))
+    r = chat.digest(formatted).first()
+    assert [tuple(m) for m in formatted.select(chat.parse(F.col("formatted"))).first()[0]] == [e[4:] for e in order]
+    assert r["n_turns"] == len(want) and r["turns_sha256"] == hashlib.sha256("".join(f"{e[4]}\n{e[5]}\n" for e in order).encode()).hexdigest()
+    assert r["loss_sha256"] == hashlib.sha256("".join(e[5] for e in order if e[4] == "assistant").encode()).hexdigest()
+
+
 # --- 10
 
 
