@@ -82,10 +82,30 @@ def format_events(events: DataFrame) -> DataFrame:
     return render(reconstruct(events))
 
 
+def masked(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss mask, array<string>, cut out by its runs; an error if the runs do not cover the messages."""
+    parts = F.split(F.substring(formatted, len(BOS) + 1, 2**31 - 1), EOS)
+    parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    run = lambda i, k: F.get(loss, 3 * i + k + 1)
+    fits = lambda p, i: (run(i, 0)["chars"] + run(i, 1)["chars"] == F.char_length(p)) & (run(i, 2)["chars"] == len(EOS))
+
+    def cut(p: Column, i: Column) -> Column:
+        head, body = run(i, 0), run(i, 1)
+        text = F.concat(
+            F.when(head["masked"], F.substring(p, F.lit(1), head["chars"])).otherwise(""),
+            F.when(body["masked"], F.substring(p, head["chars"] + 1, body["chars"])).otherwise(""),
+            F.when(run(i, 2)["masked"], F.lit(EOS)).otherwise(""),
+        )
+        return F.when(fits(p, i), unescape(text)).otherwise(F.raise_error(F.lit("the loss runs do not cover the messages")).cast("string"))
+
+    whole = (F.size(loss) == 3 * F.size(parts) + 1) & (F.get(loss, F.lit(0))["chars"] == len(BOS))
+    return F.when(whole, F.transform(parts, cut)).otherwise(F.raise_error(F.lit("the loss runs do not cover the text")).cast("array<string>"))
+
+
 def digest(formatted: DataFrame) -> DataFrame:
     """What a reader finds in the formatted text: turns, and the text under the loss mask."""
     read = formatted.withColumn("messages", parse(F.col("formatted")))
     turns = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("messages", lambda m: m["role"] == ASSISTANT), lambda m: m["text"]), "")
+    loss = F.array_join(masked(F.col("formatted"), F.col("loss")), "")
     read = read.select("conv_id", F.size("messages").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), loss.alias("l"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     return read.select("conv_id", "n_turns", "turns_sha256", F.char_length("l").cast("long").alias("loss_chars"), F.sha2("l", 256).alias("loss_sha256"), "formatted_chars")

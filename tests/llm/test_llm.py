@@ -431,6 +431,19 @@ def test_chat_long_conversation(spark):
     assert r["n_turns"] == 1000 and r["turns_sha256"] == hashlib.sha256("".join(f"{'user' if i % 2 == 0 else 'assistant'}\nt{i}\n" for i in range(1000)).encode()).hexdigest()
 
 
+def test_chat_digest_reads_the_mask(spark):
+    rows = spark.createDataFrame([(1, 0, 0, "message", "user", "a & b"), (1, 1, 1, "message", "assistant", "c [d]"), (1, 2, 2, "message", "user", "é")], "conv_id long, turn long, seq long, kind string, role string, text string")
+    formatted = chat.format_events(rows)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert chat.digest(formatted).first()["loss_sha256"] == sha("c [d]")
+    other = formatted.withColumn("loss", F.transform("loss", lambda x, i: x.withField("masked", (i == 2) | (i == 8))))
+    r = chat.digest(other).first()
+    assert r["loss_sha256"] == sha("a & bé") and r["loss_chars"] == 6
+    for bad in (F.slice("loss", 1, 9), F.transform("loss", lambda x, i: x.withField("chars", x["chars"] + (i == 5).cast("int")))):
+        with pytest.raises(Exception, match="loss runs"):
+            chat.digest(formatted.withColumn("loss", bad)).collect()
+
+
 def test_chat_many_messages_of_one_turn(spark):
     want = [(turn, i) for turn, n in ((None, 70), (-1, 2), (0, 100), (1, 1), (2, 200), (3, 3), (64, 130), (65, 1)) for i in range(n)]
     events = [(1, turn, i // 2, "message", "user" if i % 3 else "assistant", f"t{turn} {i // 2:03d}") for turn, i in want]
