@@ -63,8 +63,11 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", wind
     return out.select(F.xxhash64("item_id", "words").alias("iid"), "item_id", "words", F.least(F.size("words"), F.lit(window)).alias("n"))
 
 
-def probes(tokens: DataFrame, items: DataFrame, reach: int) -> DataFrame:
-    """For each window that can occur its two rarest terms: t1 at o1, t2 at o2 in the item, and the item's words around o1."""
+def probes(tokens: DataFrame, items: DataFrame, reach: int, starts: bool = False) -> DataFrame:
+    """For each window that can occur its two rarest terms: t1 at o1, t2 at o2 in the item, and the item's words around o1.
+
+    Windows that share these are one row; with ``starts`` it also lists where they begin.
+    """
     at = items.select("iid", "n", F.size("words").alias("m"), F.posexplode("words").alias("o", "term"))
     terms = at.select("term").distinct()
     seen = tokens.select(F.explode("words").alias("term")).join(_bounded(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
@@ -74,10 +77,11 @@ def probes(tokens: DataFrame, items: DataFrame, reach: int) -> DataFrame:
     rare = at.withColumn("ahead", F.collect_list(F.struct("df", "o", "term")).over(ahead)).where("o + n <= m")
     rare = rare.withColumn("ahead", F.array_sort(F.slice("ahead", F.lit(1), F.col("n")))).where("ahead[0].df > 0")
     second = F.coalesce(F.get("ahead", F.lit(1)), F.get("ahead", F.lit(0)))
-    rare = rare.select("iid", F.col("ahead")[0]["o"].alias("o1"), F.col("ahead")[0]["term"].alias("t1"), second["o"].alias("o2"), second["term"].alias("t2")).distinct()
+    rare = rare.select("iid", F.col("ahead")[0]["o"].alias("o1"), F.col("ahead")[0]["term"].alias("t1"), second["o"].alias("o2"), second["term"].alias("t2"), *[F.col("o").alias("start")] * starts)
+    rare = rare.groupBy("iid", "o1", "t1", "o2", "t2").agg(F.collect_set("start").alias("starts")) if starts else rare.distinct()
     joined = rare.join(items, "iid")
     return materialize(
-        joined.select("iid", "item_id", "n", "t1", "o1", "t2", "o2", _before(F.col("words"), F.col("o1"), reach).alias("i_left"), F.slice("words", F.col("o1") + 2, reach).alias("i_right"), "words"), "probes"
+        joined.select("iid", "item_id", "n", "t1", "o1", "t2", "o2", _before(F.col("words"), F.col("o1"), reach).alias("i_left"), F.slice("words", F.col("o1") + 2, reach).alias("i_right"), "words", *["starts"] * starts), "probes"
     )
 
 
@@ -94,21 +98,21 @@ def matches(tokens: DataFrame, items: DataFrame, slop: int = 0, window: int = WI
     Exact rows cover all occurrences of all windows; one row may cover several windows that overlap.
     """
     reach = window - 1 + slop
-    found = probes(tokens, items, reach)
+    found = probes(tokens, items, reach, starts=slop > 0)
     terms = found.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
     postings = index(tokens, terms, reach)
     small = _bounded(found)
     first = postings.join(small, F.col("term") == F.col("t1"))
     left, right = _agree(F.col("d_left"), F.slice("i_left", 1, window - 1)), _agree(F.col("d_right"), F.slice("i_right", 1, window - 1))
-    placed = first.select("doc_id", "th", "item_id", "n", "words", "o1", "t2", "pos", (F.col("pos") - F.col("o1") + F.col("o2")).alias("pos2"), "d_left", "d_right", "term", "i_left", "i_right")
+    placed = first.select("doc_id", "th", "item_id", "n", "words", "o1", "t2", "pos", (F.col("pos") - F.col("o1") + F.col("o2")).alias("pos2"), "d_left", "d_right", "term", "i_left", "i_right", *["starts"] * (slop > 0))
     second = postings.select(F.col("doc_id").alias("doc2"), F.col("th").alias("th2"), F.col("term").alias("term2"), F.col("pos").alias("at2"))
     both = placed.join(second, (F.col("doc_id").eqNullSafe(F.col("doc2"))) & (F.col("th") == F.col("th2")) & (F.col("t2") == F.col("term2")) & (F.col("pos2") == F.col("at2")), "left_semi")
     exact = both.withColumn("l", left).withColumn("r", right).where("l + r + 1 >= n")
     out = exact.select("doc_id", "th", "item_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("stop"), F.lit("exact").alias("kind"))
     if slop:
         around = F.concat(F.reverse("d_left"), F.array("term"), "d_right")
-        wanted = F.slice("words", F.greatest(F.col("o1") - F.col("n") + 1, F.lit(0)) + 1, F.col("n"))
-        near = placed.withColumn("around", around).withColumn("wanted", F.array_distinct(wanted)).where(F.array_contains("wanted", F.col("term")))
+        near = placed.withColumn("around", around).withColumn("begin", F.explode("starts")).withColumn("wanted", F.array_distinct(F.slice("words", F.col("begin") + 1, F.col("n"))))
+        near = near.where(F.size(F.array_except("wanted", "around")) == 0)  # before the places are tried
         near = near.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.size("around") - F.col("n") - slop, F.lit(0)))))
         near = near.where(F.size(F.array_except("wanted", F.slice("around", F.col("k") + 1, F.col("n") + slop))) == 0)
         base = F.col("pos") - F.size("d_left") + F.col("k")

@@ -238,6 +238,36 @@ def test_proximity(spark):
     assert {(r["doc_id"], r["kind"]) for r in found.collect()} == {(0, "exact"), (0, "near"), (1, "near"), (2, "near")}
 
 
+def test_proximity_of_all_windows(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [" ".join(rng.sample(vocab, k)) for k in (30, 45, 12)] + [" ".join(rng.choices(vocab, k=35)), "w1 w2 w3"]
+    texts = ["", "w3 x w1 y w2", "w3 x x x w1 w2"]
+    for _ in range(60):
+        words = rng.choice(items[:4]).split()
+        at = rng.randrange(len(words) - 9)
+        part = words[at : at + 10]
+        if rng.random() < 0.5:
+            rng.shuffle(part)
+        for _ in range(rng.randrange(5)):
+            part.insert(rng.randrange(len(part)), rng.choice(["x", "y"]))
+        texts.append(" ".join(rng.choices(["x", "y", *vocab], k=rng.randrange(9)) + part + rng.choices(["x", "y", *vocab], k=rng.randrange(9))))
+    want = set()
+    for i, text in enumerate(texts):
+        t = text.split()
+        for j, item in enumerate(items):
+            w = item.split()
+            n = min(10, len(w))
+            spans = [set(t[k : k + n + 3]) for k in range(max(1, len(t) - n - 2))]
+            if any(set(w[o : o + n]) <= s for o in range(len(w) - n + 1) for s in spans):
+                want.add((i, j))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontam.matches(decontam.tokenize(docs_of(spark, texts)), decontam.windows(bench), slop=3).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found if r["kind"] == "near"} == want and 30 < len(want) < 70
+    for r in found:
+        assert 0 <= r["start"] <= r["stop"] < len(texts[r["doc_id"]].split())
+
+
 # --- 4
 
 
