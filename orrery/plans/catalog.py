@@ -148,6 +148,12 @@ def position_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.position_dedup(new.select("id", "ra", "dec"), old, 3.0)
 
 
+@query(cte("v_object", "v_star") + f" SELECT id, ra, dec FROM v_object n WHERE NOT EXISTS (SELECT 1 FROM v_star o WHERE abs(o.dec - n.dec) <= 4e0 AND {_SEP} <= 3e0)")
+def position_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All objects without any star within three degrees."""
+    return spatial.position_dedup(view(spark, sf_dir, "v_object").select("id", "ra", "dec"), view(spark, sf_dir, "v_star"), 3.0)
+
+
 
 def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = view(spark, sf_dir, "v_star").selectExpr("id", "ra * 10e0 AS x", "(dec + 90e0) * 10e0 AS y")

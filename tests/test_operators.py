@@ -382,6 +382,22 @@ def test_sip_fit():
     assert solver.fit_sip(xy[:5], plane[:5], wcs, 2, (1600, 1200)) is None
 
 
+def test_position_dedup_of_whole_tables(spark, tmp_path):
+    import __spark_entry__ as driver
+
+    spark.range(1, 61).selectExpr("id as c_custkey", "0.0D as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(41, 141).selectExpr("id as p_partkey", "'t' as p_type", "1.0D as p_retailprice", "1 as p_size", "'n' as p_name", "'b' as p_brand").write.parquet(f"{tmp_path}/part.parquet")
+
+    def place(k):
+        ra, dec = np.radians(k * 137508 % 360000 / 1000), np.radians(k * 61803 % 180001 / 1000 - 90)
+        return np.array([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)])
+
+    new, old = np.arange(41, 141), np.arange(1, 61)
+    far = np.degrees(np.arccos(np.clip(place(new).T @ place(old), -1, 1))).min(1) > 3
+    got = {r["id"] for r in driver.queries()["position_dedup_all"](spark, str(tmp_path)).collect()}
+    assert got == set(new[far].tolist()) and 0 < len(got) < 100 and {i % 2 for i in got} == {0, 1}
+
+
 def test_blind_solve(spark):
     rng = np.random.default_rng(12)
     ra, dec, mag = rng.uniform(140, 160, 900), rng.uniform(25, 45, 900), rng.uniform(3, 9, 900)
