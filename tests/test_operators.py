@@ -418,3 +418,35 @@ def test_blind_solve(spark):
 
     out = solver.solve_blind(xy[inside], index, near, (1000, 800), quads=1001)
     assert out is not None and np.allclose(out["wcs"].world(500, 400), (150.0, 35.0), atol=0.01) and abs(out["wcs"].scale - 18) < 0.05
+
+
+def test_blind_solve_uses_all_quads_by_default(spark):
+    rng = np.random.default_rng(12)
+    ra, dec, mag = rng.uniform(140, 160, 900), rng.uniform(25, 45, 900), rng.uniform(3, 9, 900)
+    catalog = spark.createDataFrame([(i, float(a), float(d), float(m)) for i, (a, d, m) in enumerate(zip(ra, dec, mag))], "id long, ra double, dec double, mag double")
+    index = solver.blind_index(catalog, [(1.5, 9.2), (0.75, 9.2)]).cache()
+    wcs = Wcs.simple(150.0, 35.0, 500.0, 400.0, 18.0, 33.0)
+    plane = solver.project(ra, dec, 150.0, 35.0)
+    m = np.array([[wcs.cd[0], wcs.cd[1]], [wcs.cd[2], wcs.cd[3]]])
+    xy = plane @ np.linalg.inv(m).T + [500, 400]
+    inside = np.flatnonzero((xy > 0).all(1) & (xy[:, 0] < 1000) & (xy[:, 1] < 800))
+    inside = inside[np.argsort(mag[inside])]
+
+    def near(a, d, r):
+        p = solver.project(ra, dec, a, d)
+        k = np.flatnonzero(np.hypot(p[:, 0], p[:, 1]) <= r)
+        k = k[np.argsort(mag[k])]
+        return ra[k], dec[k], mag[k]
+
+    spurious = np.concatenate([[[130.0, 700.0], [880.0, 90.0]], xy[inside]])
+    out = solver.solve_blind(spurious, index, near, (1000, 800))
+    assert out is not None and np.allclose(out["wcs"].world(500, 400), (150.0, 35.0), atol=0.01)
+
+
+def test_blind_votes_count_all_look_ups(spark):
+    noise = spark.range(60_000).selectExpr("id % 300 * 4 as x", "id div 300 * 4 as y", "id % 2 as z", "0.005D as error", "0.0D as ra", "0.0D as dec", "1.0D as scale", "array(1.0D) as map", "0.0D as ra0", "0.0D as dec0")
+    votes = [(x, 5001, 40, e, float(x)) for x, n in ((5001, 3), (5002, 7)) for e in [0.004, 0.002, 0.003] + [0.009] * (n - 3)]
+    true = spark.createDataFrame(votes, "x long, y long, z long, error double, ra double").selectExpr("x", "y", "z", "error", "ra", "0.0D as dec", "1.0D as scale", "array(1.0D) as map", "0.0D as ra0", "0.0D as dec0")
+    got = solver.ranked_bins(noise.unionAll(true), 4)
+    assert len(got) == 300
+    assert [(r["x"], r["n"], r["score"], r["lead"]["ra"], r["lead"]["error"]) for r in got[:2]] == [(5002, 7, 10, 5002.0, 0.002), (5001, 3, 10, 5002.0, 0.002)]
