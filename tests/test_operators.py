@@ -368,6 +368,18 @@ def test_hinted_solve(spark):
     assert r["matches"] >= 20 and abs(r["scale"] - 2.5) < 1e-3 and abs(r["rotation"] - 20) < 0.1
 
 
+def test_hinted_solve_of_a_hint_off_centre():
+    wcs, xy, ra, dec, mag = synthetic_sky()
+    rng = np.random.default_rng(3)
+    far = np.column_stack([rng.uniform(147, 153, 600), rng.uniform(32, 38, 600)])
+    far = far[np.hypot((far[:, 0] - 150) * math.cos(math.radians(35)), far[:, 1] - 35) > 1]
+    ra, dec, mag = np.concatenate([ra, far[:, 0]]), np.concatenate([dec, far[:, 1]]), np.concatenate([mag, rng.uniform(1, 4, len(far))])
+    out = solver.solve(xy, ra, dec, mag, (151.2, 34.1), (2.5, 0.2), (1600, 1200))
+    assert out is not None and out["matches"] >= 20 and np.allclose(out["wcs"].world(800, 600), wcs.world(800, 600), atol=1e-3)
+    empty = np.flatnonzero(np.hypot((ra - 150) * math.cos(math.radians(35)), dec - 35) > 1)
+    assert solver.solve(xy, ra[empty], dec[empty], mag[empty], (151.2, 34.1), (2.5, 0.2), (1600, 1200)) is None
+
+
 def test_sip_fit():
     rng = np.random.default_rng(11)
     wcs = Wcs.simple(150.0, 35.0, 800.0, 600.0, 2.5)
