@@ -269,7 +269,9 @@ def identity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def fallback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return merge.fallback(d.limit(0).select("doc_id", "lang"), d.join(known, "doc_id", "left_anti").select("doc_id", "lang"), "doc_id")
+    d = d.select("doc_id", "lang")
+    first = d.join(known, "doc_id", "left_semi").withColumn("first", F.lit(True))
+    return merge.fallback(first, d.withColumn("first", F.lit(False)), "doc_id").where("not first").drop("first")
 
 
 @query("WITH " + FRAME + " SELECT label, y, x, CAST(count(*) AS BIGINT) AS accepted FROM v_frame WHERE v > -1e0 GROUP BY label, y, x")

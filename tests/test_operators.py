@@ -342,6 +342,18 @@ def test_identity(spark):
     assert [r["parent"] for r in merge.unresolved_parents(links, "id", "parents").collect()] == [9]
 
 
+def test_fallback_rows_gives_the_operator_both_sides(spark, tmp_path, monkeypatch):
+    from orrery.plans import matches
+
+    spark.createDataFrame([(i, "en") for i in range(6)], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (4, 1), (9, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, whole = [], merge.fallback
+    monkeypatch.setattr(merge, "fallback", lambda a, b, key: seen.append((a.count(), b.count())) or whole(a, b, key))
+    got = matches.fallback_rows(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang"] and {r["doc_id"] for r in got.collect()} == {0, 2, 3, 5}
+    assert seen == [(2, 6)]
+
+
 # --- solving
 
 
