@@ -33,6 +33,9 @@ MATCH, K, SHALLOW = 400, 128, 32
 SIDE = MATCH - K
 #: Different surroundings of one anchor at most that a task sorts.
 HOT = 100_000
+#: Anchors of one K-gram that are compared pair by pair, and those whose common prefixes are read off the two suffix
+#: arrays row by row; more go through the classes of all their windows, whose cost grows with their number alone.
+FEW, MANY = 6, 1000
 _SEGMENT = 1 << 20
 #: Keys of cut texts at most for a broadcast (some 5 MB).
 BROADCAST_ROWS = 300_000
@@ -186,29 +189,34 @@ def _blind_trie(strings: list[bytes], group: list[int]) -> tuple[list[int], list
 
 
 def deep_shallow_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of ``strings`` and the common prefix of each with its forerunner (below ``SHALLOW``: 0)."""
+    """The suffix array of ``strings`` and the common prefix of each with its forerunner (below ``SHALLOW``: 0).
+
+    The multikey sort goes down by eight bytes at a time and parts all groups of one depth together.
+    """
     n = len(strings)
     words = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), ">u8").reshape(n, -1).astype(np.uint64)
-    short = np.fromiter(map(len, strings), np.int64, n) < SHALLOW
-    order: list[int] = []
-    lcp: list[int] = []
-    stack = [(np.arange(n), 0)]
-    while stack:
-        group, depth = stack.pop()
-        if len(group) == 1:
-            order.append(int(group[0]))
-            lcp.append(0)
-        elif depth == words.shape[1] or (depth and short[group].any()):
-            o, c = _blind_trie(strings, group.tolist())
-            order += o
-            lcp += [0, *c[1:]]
-        else:
-            key = words[group, depth]
-            pivot = np.partition(key, len(key) // 2)[len(key) // 2]
-            for part, deeper in ((key > pivot, 0), (key == pivot, 1), (key < pivot, 0)):
-                if part.any():
-                    stack.append((group[part], depth + deeper))
-    return np.array(order, np.int64), np.array(lcp, np.int64)
+    order, group = np.arange(n), np.zeros(n, np.int64)
+    for depth in range(words.shape[1]):
+        key = words[order, depth]
+        by = np.lexsort((key, group))
+        order, key, group = order[by], key[by], group[by]
+        group = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])]))
+    lcp = np.zeros(n, np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if hi - lo > 1:
+            o, c = _blind_trie(strings, order[lo:hi].tolist())
+            order[lo:hi] = o
+            lcp[lo + 1 : hi] = c[1:]
+    return order, lcp
+
+
+def _least_between(lcp: np.ndarray, i: int) -> np.ndarray:
+    """The common prefix of string ``i`` of a suffix array with every other (with itself: 0)."""
+    out = np.zeros(len(lcp), np.int64)
+    out[i + 1 :] = np.minimum.accumulate(lcp[i + 1 :])
+    out[:i] = np.minimum.accumulate(lcp[i:0:-1])[::-1]
+    return out
 
 
 def repeats(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +232,14 @@ def repeats(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarr
         m = hi - lo
         if m < 2:
             continue
-        group = order[lo:hi].tolist()
-        shared = np.minimum(lcp[lo + 1 : hi] - K, SIDE)
-        if m <= 24:
+        group = order[lo:hi]
+        ahead = np.minimum(lcp[lo:hi] - K, SIDE)
+        if m <= FEW:
+            group, ahead = group.tolist(), ahead.tolist()
             for i in range(m):
                 r = SIDE
                 for j in range(i + 1, m):
-                    r = min(r, int(shared[j - 1]))
+                    r = min(r, ahead[j])
                     x, y = group[i], group[j]
                     s = min(SIDE, _common(left[x], left[y]))
                     if s + r >= SIDE:
@@ -238,17 +247,25 @@ def repeats(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarr
                             reach_l[z], reach_r[z] = max(reach_l[z], s), max(reach_r[z], r)
             continue
         left_order, left_lcp = deep_shallow_sort_all([left[g] for g in group])
+        behind, rank = np.minimum(left_lcp, SIDE), np.empty(m, np.int64)
+        rank[left_order] = np.arange(m)
+        if m <= MANY:
+            for i in range(m):
+                r, s = _least_between(ahead, i), _least_between(behind, int(rank[i]))[rank]
+                fits = s + r >= SIDE
+                fits[i] = False
+                if fits.any():
+                    reach_l[group[i]], reach_r[group[i]] = s[fits].max(), r[fits].max()
+            continue
         right_len = np.array([len(right[g]) - K for g in group])
         left_len = np.array([len(left[g]) for g in group])
-        g = np.array(group)
         for a in range(SIDE + 1):
-            right_class = np.concatenate([[0], np.cumsum(shared < SIDE - a)])
-            left_class = np.empty(m, np.int64)
-            left_class[left_order] = np.cumsum(left_lcp < a)
+            right_class = np.cumsum(np.concatenate([[0], ahead[1:] < SIDE - a]))
+            left_class = np.cumsum(np.concatenate([[0], behind[1:] < a]))[rank]
             fits = np.flatnonzero((left_len >= a) & (right_len >= SIDE - a))
             key = right_class[fits] * (m + 1) + left_class[fits]
             _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-            hit = g[fits[count[inverse] > 1]]
+            hit = group[fits[count[inverse] > 1]]
             reach_l[hit] = a
             reach_r[hit] = np.maximum(reach_r[hit], SIDE - a)
     return reach_l, reach_r
@@ -364,8 +381,8 @@ def _thin_runs(who: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndar
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of each text. Those of one text with equal surroundings are settled here: one stands for all, and the
-    bytes around them come as spans (pos, c1), so that a text that repeats itself deals out little under one hash."""
+    """The anchors of each text. Those of one batch with equal surroundings are settled here: one stands for all, and the
+    bytes around them come as spans (pos, c1), so that what many texts share deals out one row a batch under its hash."""
     for batch in batches:
         who, pos, h, around = anchors(batch.column(2).to_pylist())
         if not len(who):
@@ -376,8 +393,8 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _span_rows(did, th, *runs.T)
             who, pos, h, around = who[keep], pos[keep], h[keep], around[keep]
         c1, c2 = around[:, 0].view(np.int64), around[:, 1].view(np.int64)
-        order = np.lexsort((pos, c2, c1, who))
-        new = np.concatenate([[True], (np.diff(who[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)])
+        order = np.lexsort((pos, who, c2, c1, h))
+        new = np.concatenate([[True], (np.diff(h[order].view(np.int64)) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)])
         first = np.flatnonzero(new)
         several = np.repeat(np.diff(np.append(first, len(order))) > 1, np.diff(np.append(first, len(order))))
         lead = order[first]
