@@ -490,17 +490,30 @@ def test_chat_many_messages_of_one_turn(spark):
 
 
 def slow_suffix(texts):
-    seen = {}
     texts = [(t or "").encode() for t in texts]
-    for i, t in enumerate(texts):
-        for s in range(len(t) - 399):
-            seen.setdefault(t[s : s + 400], []).append((i, s))
-    gone = [np.zeros(len(t), bool) for t in texts]
-    for v in seen.values():
-        if len(v) > 1:
-            for i, s in v:
-                gone[i][s : s + 400] = True
-    return [(len(t), int(g.sum()), int((np.diff(np.concatenate([[0], g.astype(int)])) == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()) for t, g in zip(texts, gone)]
+
+    def covered(n):
+        seen = {}
+        for i, t in enumerate(texts):
+            for s in range(len(t) - n + 1):
+                seen.setdefault(t[s : s + n], []).append((i, s))
+        out = [np.zeros(len(t) + 2, bool) for t in texts]
+        for v in seen.values():
+            if len(v) > 1:
+                for i, s in v:
+                    out[i][s + 1 : s + n + 1] = True
+        return out
+
+    def runs(mask):
+        step = np.diff(mask.astype(int))
+        return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
+
+    out = []
+    for t, gone, found in zip(texts, covered(400), covered(200)):
+        words = [n for lo, hi in runs(found) if (n := len(t[lo:hi].split())) >= 50]
+        kept = np.frombuffer(t, np.uint8)[~gone[1:-1]].tobytes()
+        out.append((len(t), int(gone.sum()), len(runs(gone)), hashlib.sha256(kept).hexdigest(), len(words), sum(words)))
+    return out
 
 
 def planted_texts(seed, n):
@@ -516,11 +529,11 @@ def planted_texts(seed, n):
     return [*out, "a" * 1000, "ab" * 700, "a" * 399, "é" * 500, "x" * 900 + "y" + "x" * 500, out[3], out[3]]
 
 
-@pytest.mark.parametrize("hot", [None, 3])
-def test_suffix_removal(spark, hot):
+@pytest.mark.parametrize(("hot", "vast"), [(None, None), (3, None), (3, 2)])
+def test_suffix_removal(spark, hot, vast):
     texts = [*planted_texts(13, 90), *[t for t in EDGES if len(t or "") < 1000], "q w " * 3000]
     docs = docs_of(spark, texts)
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.digest(docs, hot=hot).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.digest(docs, hot=hot, vast=vast).collect()}
     assert got == dict(enumerate(slow_suffix(texts)))
 
 
@@ -534,8 +547,8 @@ def test_suffix_long_texts_and_rows(spark, monkeypatch):
     assert suffix.digest(docs.limit(0)).count() == 0 and suffix.digest(docs.union(docs)).count() == 2 * len(texts)
 
 
-@pytest.mark.parametrize("hot", [None, 3])
-def test_suffix_periodic_runs(spark, hot):
+@pytest.mark.parametrize(("hot", "vast"), [(None, None), (3, 2)])
+def test_suffix_periodic_runs(spark, hot, vast):
     rng = random.Random(17)
     text = lambda k: "".join(rng.choice("ab cdé") for _ in range(k))
     units = ["To ", "Des. ", "xy", "q", "Is onhe. ", "a longer period of some forty bytes.. "]
@@ -545,10 +558,33 @@ def test_suffix_periodic_runs(spark, hot):
         t = text(rng.randrange(250)) + u * rng.choice([20, 60, 100, 150, 300]) + text(rng.choice([0, 40, 300]))
         texts.append(t + u * rng.choice([0, 0, 70]))
     texts += [texts[3][:900], texts[4][50:], "Des. " * 300, "xDes. " + "Des. " * 200 + "y", "zz" + "q" * 1500]
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.digest(docs_of(spark, texts), hot=hot).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.digest(docs_of(spark, texts), hot=hot, vast=vast).collect()}
     assert got == dict(enumerate(slow_suffix(texts)))
 
 
+def test_suffix_common_passage_in_many_texts(spark):
+    rng = random.Random(19)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    short, long = words(55), words(120)
+    texts = [f"{words(40)} {short if i % 2 else long} {words(40)}" for i in range(40)] + [words(150) for _ in range(10)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.digest(docs_of(spark, texts), hot=5).collect()}
+    assert got == dict(enumerate(slow_suffix(texts)))
+    assert all(got[i][4] == 1 and (got[i][1] > 0) == (i % 2 == 0) for i in range(40)) and not any(got[i][4] for i in range(40, 50))
+
+
+def test_suffix_passages_go(spark):
+    rng = random.Random(20)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passage, brief = words(55), words(42)
+    rows = [("x", f"{words(30)}, {passage}", "a"), ("y", f"{passage}; {words(30)}", "b"), ("z", f"{brief}! {words(9)}", "c"), (None, f"{words(9)}? {brief}", "d"), ("n", None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, did string").withColumns({"th": F.lit(1), "kept": F.lit(2)})
+    out = suffix.without_repeats(docs)
+    assert out.columns == docs.columns
+    got = {r["did"]: r["text"] for r in out.collect()}
+    assert got["a"] == rows[0][1][: -len(passage)] and got["b"] == rows[1][1][len(passage) :]  # a comma and a semicolon stand beside the passage
+    assert got["c"] == rows[2][1] and got["d"] == rows[3][1] and got["e"] is None
+
+
 def test_deep_shallow_sort():
     rng = random.Random(15)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.choice([10, 40, 60]))) for _ in range(150)]
