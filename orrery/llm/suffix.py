@@ -8,8 +8,8 @@ runs of bytes covered by ``least``-byte strings that also start elsewhere, where
    window's bytes alone, so equal windows have equal anchors at equal offsets; longer windows hold such windows.
 2. Anchors meet by hash, one sorted stream for each key. Where the bytes around two anchors agree as far as any
    window reaches, both are settled at once; only anchors with one hash and different surroundings go on.
-3. Those bring their surroundings. Suffixes that start at the anchors are sorted deep-shallow: multikey quicksort to
-   ``SHALLOW`` bytes, then a blind trie for every group that still agrees. The array's common prefixes to the right
+3. Those bring their surroundings. Suffixes that start at the anchors are sorted deep-shallow: by their grams, then
+   multikey quicksort to ``SHALLOW`` bytes behind them, then a blind trie for every group that still agrees. The array's common prefixes to the right
    and, by the same sort of the reversed bytes, to the left give the longest repeat around each anchor, exactly.
    An anchor with more than ``HOT`` different surroundings is dealt by ``PARTS`` keys instead of one: a window that
    repeats reaches l bytes to the left and the rest to the right, so two anchors that share one agree in the bytes of
@@ -36,18 +36,19 @@ from pyspark.sql import types as T
 
 from .common import materialize, tidied, unused
 
-MATCH, SHALLOW = 400, 32
+MATCH, SHALLOW = 400, 128
 #: A passage: strings of so many bytes that repeat, in a run of so many words. 50 words seldom take fewer bytes.
 LEAST, WORDS = 200, 50
 #: Different surroundings of one anchor above which it is dealt by parts, and their number under one part's key at most
 #: that a task sorts.
-HOT, VAST, PARTS = 1000, 100_000, 8
+HOT, VAST, PARTS = 20_000, 100_000, 8
 #: Anchors of one gram that are compared pair by pair, and those whose common prefixes are read off the two suffix
-#: arrays row by row; more go through the classes of all their windows, whose cost grows with their number alone.
-FEW, MANY = 6, 1000
+#: arrays at once; more go through the classes of all their windows, whose cost grows with their number alone.
+FEW, MANY = 6, 2000
 _SEGMENT = 1 << 20
 #: Keys of cut texts at most for a broadcast (some 5 MB).
 BROADCAST_ROWS = 300_000
+_U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _NULL = -(1 << 63)
 #: Kinds of rows that are dealt by hash: an anchor, one that stands for several of its text, a span of settled bytes.
@@ -70,7 +71,7 @@ class Rule(NamedTuple):
     @property
     def k(self) -> int:
         """The length of the grams that are anchors."""
-        return max(SHALLOW, self.windows[-1] * 8 // 25)
+        return self.windows[-1] * 8 // 25
 
     @property
     def side(self) -> int:
@@ -221,54 +222,85 @@ def _blind_trie(strings: list[bytes], group: list[int]) -> tuple[list[int], list
     return order, lcp
 
 
-def deep_shallow_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of ``strings`` and the common prefix of each with its forerunner (below ``SHALLOW``: 0).
+def deep_shallow_sort(strings: list[bytes], group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of ``strings``, by ``group`` first, and the common prefix of each with its forerunner in its group.
 
-    The multikey sort goes down by eight bytes at a time and parts all groups of one depth together.
+    The multikey sort goes down by eight bytes at a time and parts all groups of one depth together, to ``SHALLOW``
+    bytes; strings that still agree go through a blind trie, equal ones as one.
     """
     n = len(strings)
-    words = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), ">u8").reshape(n, -1).astype(np.uint64)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    for depth in range(words.shape[1]):
-        key = words[order, depth]
-        by = np.lexsort((key, group))
-        order, key, group = order[by], key[by], group[by]
-        group = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])]))
+    words = np.frombuffer(b"".join([s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings]), ">u8").reshape(n, -1).astype(np.uint64)
+    size = np.fromiter(map(len, strings), np.int64, n)
+    group = np.zeros(n, np.int64) if group is None else group
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    first = np.concatenate([[True], group[1:] != group[:-1]])  # where a group starts
     lcp = np.zeros(n, np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if hi - lo > 1:
-            o, c = _blind_trie(strings, order[lo:hi].tolist())
-            order[lo:hi] = o
-            lcp[lo + 1 : hi] = c[1:]
+    at = np.arange(n)  # places whose group has more than one string
+    for depth in range(words.shape[1] + 1):
+        edge = np.append(first[at], True) if len(at) else np.ones(1, bool)
+        at = at[~(edge[:-1] & edge[1:])]
+        if not len(at) or depth == words.shape[1]:
+            break
+        which = np.cumsum(first[at])
+        key = words[order[at], depth]
+        by = np.lexsort((key, which))
+        order[at] = order[at][by]
+        key = key[by]
+        parts = np.flatnonzero((key[1:] != key[:-1]) & ~first[at[1:]]) + 1
+        x = key[parts] ^ key[parts - 1]
+        equal = np.zeros(len(parts), np.int64)
+        for byte in range(1, 8):
+            equal += x >> _U(64 - 8 * byte) == 0
+        lcp[at[parts]] = 8 * depth + equal
+        first[at[parts]] = True
+    edges = at[first[at]].tolist()
+    ends = np.flatnonzero(np.append(first, True))
+    for lo, hi in zip(edges, ends[np.searchsorted(ends, edges, "right")].tolist()):
+        same: dict[bytes, list[int]] = {}
+        for i in order[lo:hi].tolist():
+            same.setdefault(strings[i], []).append(i)
+        o, c = _blind_trie(strings, [v[0] for v in same.values()])
+        place = lo
+        for i, common in zip(o, c):
+            equals = same[strings[i]]
+            order[place : place + len(equals)] = equals
+            if place > lo:
+                lcp[place] = common
+            lcp[place + 1 : place + len(equals)] = len(strings[i])
+            place += len(equals)
+    shorter = np.minimum(size[order[1:]], size[order[:-1]])  # what was filled up with zeros counts no further
+    lcp[1:] = np.minimum(lcp[1:], shorter)
     return order, lcp
 
 
-def _least_between(lcp: np.ndarray, i: int) -> np.ndarray:
-    """The common prefix of string ``i`` of a suffix array with every other (with itself: 0)."""
-    out = np.zeros(len(lcp), np.int64)
-    out[i + 1 :] = np.minimum.accumulate(lcp[i + 1 :])
-    out[:i] = np.minimum.accumulate(lcp[i:0:-1])[::-1]
-    return out
+def _least_between(lcp: np.ndarray) -> np.ndarray:
+    """The common prefix of any two strings of a suffix array (of each with itself: 0)."""
+    m = len(lcp)
+    ahead = np.where(np.tri(m, k=0, dtype=bool), np.int16(32767), lcp.astype(np.int16))
+    ahead = np.minimum.accumulate(ahead, 1)
+    ahead[np.tri(m, k=0, dtype=bool)] = 0
+    return ahead + ahead.T
 
 
-def repeats(left: list[bytes], right: list[bytes], rule: Rule) -> list[tuple[np.ndarray, np.ndarray]]:
+def repeats(left: list[bytes], right: list[bytes], gram: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, np.ndarray]]:
     """How many bytes left of and right of its gram each anchor's longest repeats reach (-1: no repeat is long enough),
     for each of the rule's windows.
 
-    ``left``: the bytes before the anchor, backwards; ``right``: those from the anchor on.
+    ``left``: the bytes before the anchor, backwards; ``right``: those behind its gram; ``gram``: a number for each gram.
     """
-    n, k, side = len(right), rule.k, rule.side
-    sides = [w - k for w in rule.windows]
+    n, side = len(right), rule.side
+    sides = [w - rule.k for w in rule.windows]
     reach = [(np.full(n, -1, np.int64), np.full(n, -1, np.int64)) for _ in sides]
-    order, lcp = deep_shallow_sort(right)
-    cut = np.flatnonzero(lcp < k)
-    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), n]):
+    order, lcp = deep_shallow_sort(right, gram)
+    left_order, left_lcp = deep_shallow_sort(left, gram)
+    edges = np.flatnonzero(np.diff(gram[order], prepend=gram[order[0]] - 1 if n else 0))
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), n]):
         m = hi - lo
         if m < 2:
             continue
         group = order[lo:hi]
-        ahead = np.minimum(lcp[lo:hi] - k, side)
+        ahead = np.minimum(lcp[lo:hi], side)
         if m <= FEW:
             group, ahead = group.tolist(), ahead.tolist()
             for i in range(m):
@@ -282,20 +314,19 @@ def repeats(left: list[bytes], right: list[bytes], rule: Rule) -> list[tuple[np.
                             for z in (x, y):
                                 reach_l[z], reach_r[z] = max(reach_l[z], s), max(reach_r[z], r)
             continue
-        left_order, left_lcp = deep_shallow_sort_all([left[g] for g in group])
-        behind, rank = np.minimum(left_lcp, side), np.empty(m, np.int64)
-        rank[left_order] = np.arange(m)
+        behind, rank = np.minimum(left_lcp[lo:hi], side), np.empty(m, np.int64)
+        by = np.argsort(group)
+        rank[by[np.searchsorted(group, left_order[lo:hi], sorter=by)]] = np.arange(m)  # where each stands from the left
         if m <= MANY:
-            for i in range(m):
-                r, s = _least_between(ahead, i), _least_between(behind, int(rank[i]))[rank]
-                both = s + r
-                both[i] = -1
-                for need, (reach_l, reach_r) in zip(sides, reach):
-                    fits = both >= need
-                    if fits.any():
-                        reach_l[group[i]], reach_r[group[i]] = s[fits].max(), r[fits].max()
+            r, s = _least_between(ahead), _least_between(behind)[rank][:, rank]
+            both = r + s
+            np.fill_diagonal(both, -1)
+            for need, (reach_l, reach_r) in zip(sides, reach):
+                fits = both >= need
+                reach_l[group] = np.where(fits, s, np.int16(-1)).max(1)
+                reach_r[group] = np.where(fits, r, np.int16(-1)).max(1)
             continue
-        right_len = np.array([len(right[g]) - k for g in group])
+        right_len = np.array([len(right[g]) for g in group])
         left_len = np.array([len(left[g]) for g in group])
         for need, (reach_l, reach_r) in zip(sides, reach):
             for a in range(need + 1):
@@ -310,15 +341,6 @@ def repeats(left: list[bytes], right: list[bytes], rule: Rule) -> list[tuple[np.
     return reach
 
 
-def deep_shallow_sort_all(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """As ``deep_shallow_sort``, with common prefixes exact below ``SHALLOW`` too."""
-    order, lcp = deep_shallow_sort(strings)
-    for i in np.flatnonzero(lcp < SHALLOW).tolist():
-        if i:
-            lcp[i] = _common(strings[order[i - 1]], strings[order[i]])
-    return order, lcp
-
-
 def _classify(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From anchors sorted by hash and surroundings: those that repeat, with role 0 (settled), 1 (settled, and a witness
     for the rest of its hash) or 2 (open). What is carried from batch to batch is one anchor for each surroundings of one hash."""
@@ -457,7 +479,7 @@ def _find_anchors(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 def _surroundings(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: dict[str, list] = {"did": [], "th": [], "pos": [], "h": [], "before": [], "after": []}
+        rows: dict[str, list] = {"did": [], "th": [], "pos": [], "h": [], "before": [], "after": [], "gram": []}
         for did, th, text, wants in zip(*(batch.column(i).to_pylist() for i in range(4))):
             for want in wants:
                 p = want["pos"]
@@ -466,7 +488,8 @@ def _surroundings(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 rows["pos"].append(p)
                 rows["h"].append(want["h"])
                 rows["before"].append(text[max(0, p - rule.side) : p][::-1])
-                rows["after"].append(text[p : p + rule.match])
+                rows["after"].append(text[p + rule.k : p + rule.match])
+                rows["gram"].append(xxhash.xxh3_64_intdigest(text[p : p + rule.k]) - (1 << 63))
             if len(rows["pos"]) > 20_000:
                 yield pa.RecordBatch.from_pydict(rows)
                 rows = {k: [] for k in rows}
@@ -515,7 +538,7 @@ def _sort_groups(rule: Rule, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         did, th, pos = (table.column(c).to_numpy() for c in ("did", "th", "pos"))
         _, once = np.unique(np.rec.fromarrays([did, th, pos]), return_index=True)  # an anchor under several keys is one string
         table, did, th, pos = table.take(once), did[once], th[once], pos[once]
-        for level, (reach_l, reach_r) in enumerate(repeats(table.column("before").to_pylist(), table.column("after").to_pylist(), rule)):
+        for level, (reach_l, reach_r) in enumerate(repeats(table.column("before").to_pylist(), table.column("after").to_pylist(), table.column("gram").to_numpy(), rule)):
             hit = reach_l >= 0
             yield pa.RecordBatch.from_pydict({"did": did[hit], "th": th[hit], "lo": (pos - reach_l)[hit], "hi": (pos + rule.k + reach_r)[hit], "level": np.full(int(hit.sum()), level, np.int8)})
 
@@ -564,7 +587,7 @@ def repeated_ranges(docs: DataFrame, rule: Rule, hot: int | None = None, vast: i
             windows = materialize(windows, "windows")
             again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
             out = out.union(windows.join(again, ["w1", "w2"], "left_semi").select("did", "th", "lo", "hi", "level"))
-    around = with_text(sorted_).mapInArrow(tidied(partial(_surroundings, rule)), "did long, th long, pos long, h long, before binary, after binary")
+    around = with_text(sorted_).mapInArrow(tidied(partial(_surroundings, rule)), "did long, th long, pos long, h long, before binary, after binary, gram long")
     out = out.union(around.repartition("h").sortWithinPartitions("h").mapInArrow(tidied(partial(_sort_groups, rule)), kind))
     return materialize(out, "ranges")
 

@@ -588,8 +588,8 @@ def test_suffix_passages_go(spark):
 def test_deep_shallow_sort():
     rng = random.Random(15)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.choice([10, 40, 60]))) for _ in range(150)]
-    strings += [b"c" * 50 + s for s in strings[:80]] + [b"c" * 70] * 4 + [b"", b"c" * 50]
-    order, lcp = suffix.deep_shallow_sort_all(strings)
+    strings += [b"c" * 150 + s for s in strings[:80]] + [b"c" * 150 + s + b"\0" for s in strings[:20]] + [b"c" * 170] * 4 + [b"", b"\0", b"c" * 150]
+    order, lcp = suffix.deep_shallow_sort(strings)
     assert [strings[i] for i in order] == sorted(strings)
     for k in range(1, len(order)):
         assert lcp[k] == suffix._common(strings[order[k - 1]], strings[order[k]])
