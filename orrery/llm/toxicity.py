@@ -1,7 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text: which of its words, pairs of neighbours and pairs with one word between occur, each hashed to one of
-``BUCKETS`` places. Training goes through the sample once per epoch in a fixed order, with a learning rate of its own
+Features of a text: which of its words, pairs of neighbours, pairs with one word between and stems (the first ``STEMS``
+bytes of longer words, so that forms never learnt share what their stem says) occur, each hashed to one of ``BUCKETS``
+places. Training goes through the sample once per epoch in a fixed order, with a learning rate of its own
 for every coordinate and L1 shrinkage, so that few weights differ from zero; those are broadcast
 (``BUCKETS`` at most). Scoring reads each whole text once.
 
@@ -28,15 +29,19 @@ from .common import tidied
 BITS = 20
 BUCKETS = 1 << BITS
 SAMPLE = 16_000
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 5.0, 0.05, 6
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 5.0, 0.05, 6
+STEMS = (4, 5, 6, 7, 8)
 _word = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted places of the features of a whole text."""
-    h = np.fromiter(map(crc32, _word((text or "").lower().encode("utf-8", "surrogatepass"))), np.uint64)
+    words = _word((text or "").lower().encode("utf-8", "surrogatepass"))
+    h = np.fromiter(map(crc32, words), np.uint64)
+    distinct = set(words)
     one, two, skip = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-    grams = np.concatenate([h * one, h[:-1] * two + h[1:] * one, h[:-2] * skip + h[2:] * one])
+    stems = [np.fromiter(map(crc32, {w[:n] for w in distinct if len(w) > n}), np.uint64) * two + np.uint64(n) for n in STEMS]
+    grams = np.concatenate([h * one, h[:-1] * two + h[1:] * one, h[:-2] * skip + h[2:] * one, *stems])
     grams ^= grams >> np.uint64(29)
     return np.unique((grams * one >> np.uint64(64 - BITS)).astype(np.int32))
 

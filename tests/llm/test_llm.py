@@ -368,6 +368,36 @@ def test_token_cache_is_bounded(monkeypatch):
 # --- 7
 
 
+def test_ftrl_equals_the_scalar_rule():
+    rng = random.Random(21)
+    rows = [(np.unique(np.array([rng.randrange(40) for _ in range(rng.randrange(1, 9))], np.int32)), rng.randrange(2)) for _ in range(300)]
+    model, z, n = toxicity.Ftrl(), Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for at, y in rows:
+            model.learn(at, y)
+            places = [*at.tolist(), toxicity.BUCKETS]
+            w = {i: weight(i) for i in places}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in places:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    everywhere = np.arange(toxicity.BUCKETS + 1)
+    got = model.weights(everywhere)
+    assert np.allclose([got[i] for i in z], [weight(i) for i in z]) and np.count_nonzero(got) <= len(z)
+
+
+def test_toxic_stems():
+    a, b = toxicity.features("Grumblefoo x"), toxicity.features("grumblebar y")
+    assert len(np.intersect1d(a, b)) == len(toxicity.STEMS) and not len(toxicity.features(None))
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     rows, labels = [], []
