@@ -117,10 +117,13 @@ class EliasFano:
         end = self._skip(start, np.ones(len(bucket), np.int64)) - 1
         return start - bucket, end - bucket
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The index of the first element at or above each ``x``."""
+    def find(self, x: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> np.ndarray:
+        """The index of the first element at or above each ``x``, of those from ``first`` to ``last`` - 1 in its bucket."""
         bucket = (x >> _U(self.shift)).astype(np.int64)
         lo, hi = self.bounds(bucket)
+        if last is not None:
+            lo = np.maximum(lo, first)
+            hi = np.maximum(np.minimum(hi, last), lo)
         want = x & _U((1 << self.shift) - 1)
         active = np.flatnonzero(lo < hi)
         while len(active):
@@ -140,13 +143,15 @@ class EliasFano:
         at = self._skip(first + (block << 4), i - first + 1, ones=True) - 1
         return ((at - i).astype(_U) << _U(self.shift)) | self.low_bits(i)
 
-    def index(self, x: np.ndarray) -> np.ndarray:
-        """The index of each ``x``, -1 where it is absent."""
+    def index(self, x: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> np.ndarray:
+        """The index of each ``x``, -1 where it is absent (from the elements ``first`` to ``last`` - 1, if given)."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
         bucket = (x >> _U(self.shift)).astype(np.int64)
         _, end = self.bounds(bucket)
-        at = self.find(x)
+        if last is not None:
+            end = np.minimum(end, last)
+        at = self.find(x, first, last)
         inside = at < end
         safe = np.where(inside, at, 0)
         return np.where(inside & (self.low_bits(safe) == (x & _U((1 << self.shift) - 1))), at, -1)
@@ -475,8 +480,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 part, context = part[context >= 0], context[context >= 0]
                 ends = shard["pointers"].get(np.concatenate([context, context + 1])).astype(np.int64)
                 lo, hi = ends[: len(context)], ends[len(context) :]
-                at = shard["successors"].index(context.astype(_U) * _U(width) + kw[part])
-                hit = (at >= lo) & (at < hi)
+                at = shard["successors"].index(context.astype(_U) * _U(width) + kw[part], lo, hi)
+                hit = at >= 0
                 found[part[hit]] = shard["codes"][at[hit]] * -_STEP
             pair = found[back]
             out[ask] = np.where(np.isnan(pair), out[ask], pair)
