@@ -143,3 +143,14 @@ def sun_place(jd: float) -> tuple[float, float]:
     c, s = math.cos(math.radians(OBLIQUITY)), math.sin(math.radians(OBLIQUITY))
     yq, zq = y * c - z * s, y * s + z * c
     return math.degrees(math.atan2(yq, x)) % 360, math.degrees(math.asin(zq / math.sqrt(x * x + yq * yq + zq * zq)))
+
+
+def snapshot_age(instant: Column, now: float, tolerance: float = 300.0) -> Column:
+    """Seconds since a snapshot; 0 up to ``tolerance`` in the future, infinite beyond it or if unknown."""
+    age = F.lit(float(now)) - instant
+    return F.when(age >= 0, age).when(age >= -tolerance, 0.0).otherwise(float("inf"))
+
+
+def historical(midpoint: Column, now: float, current: float) -> Column:
+    """Whether an exposure is too old for the current catalogue."""
+    return F.lit(float(now)) - midpoint > current

@@ -171,3 +171,9 @@ def checked_json(text: Column, schema: dict[str, str], defaults: dict[str, objec
     known = F.size(F.array_except(keys, F.array(*map(F.lit, schema)))) == 0
     filled = F.struct(*[F.coalesce(parsed[k], F.lit(defaults.get(k)).cast(t)).alias(k) for k, t in schema.items()])
     return F.when(keys.isNotNull() & known, filled)
+
+
+def fingerprint(*parts: Column) -> Column:
+    """SHA-256 of a configuration: its values in order, each with its length, so that no two lists read alike; nulls differ from blanks."""
+    text = [F.when(p.isNull(), F.lit("-")).otherwise(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string"))) for p in parts]
+    return F.sha2(F.concat_ws("|", *text), 256)

@@ -448,3 +448,25 @@ def stretch(images: DataFrame, strategy: str = "linked", target: float = 0.2, cl
     whole = F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull()
     e = p.select("f", "y", "x", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.when(whole, o).otherwise(0.0).alias("v")) for i, o in enumerate(out)])).alias("s"))
     return e.select("f", "y", "x", "s.c", "s.v")
+
+
+def response_violations(response: DataFrame) -> DataFrame:
+    """One row: samples of a residual response that are not in (0, 1]."""
+    good = F.coalesce((F.col("v") > 0) & (F.col("v") <= 1), F.lit(False))
+    return response.agg(F.count_if(~good).alias("bad"))
+
+
+def apply_response(frames: DataFrame, response: DataFrame, x: int = 0, y: int = 0) -> DataFrame:
+    """Divides a residual response (y, x, v, all in (0, 1]) out of frames, its corner at the given place; pixels beside it stay."""
+    r = response.select((F.col("y") + y).alias("y"), (F.col("x") + x).alias("x"), F.col("v").alias("r"))
+    return frames.join(r, ["y", "x"], "left").withColumn("v", F.when(F.col("r").isNotNull(), F.col("v") / F.col("r")).otherwise(F.col("v"))).drop("r")
+
+
+def channel_diagnostics(before: DataFrame, after: DataFrame, keys: list[str] = ["f"]) -> DataFrame:
+    """Flux and peak of a channel before and after restoration; samples that are not finite do not count."""
+
+    def measured(df: DataFrame, name: str) -> DataFrame:
+        finite = df.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
+        return finite.groupBy(*keys).agg(F.sum("v").alias(f"{name}_flux"), F.max("v").alias(f"{name}_peak"))
+
+    return measured(before, "input").join(measured(after, "output"), keys, "full")

@@ -227,3 +227,16 @@ def read_tiles(spark, path: str, cone: Cone | None = None, max_mag: float | None
         bands = sorted({max(b for b in range(grid.bands) if grid.offsets[b] <= t) for t in tiles})
         df = df.where(F.col("band").isin(bands) & F.col("tile").isin(tiles)).where(cone.inside(unit_vector("ra", "dec")))
     return df
+
+
+def nearest_neighbours(points: DataFrame, keys: list[str], k: int, reach: float) -> DataFrame:
+    """The ``k`` nearest points of each point (id, x, y) in its group, within ``reach``: keys, id, near, distance, rank.
+    Equal distances go by id. Points meet by cells as wide as the reach, nine for each anchor."""
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = points.select(*keys, "id", "x", "y", F.explode(around).alias("n")).select(*keys, "id", "x", "y", (cell("x") + F.col("n.i")).alias("cx"), (cell("y") + F.col("n.j")).alias("cy"))
+    b = points.select(*keys, F.col("id").alias("near"), F.col("x").alias("nx"), F.col("y").alias("ny"), cell("x").alias("cx"), cell("y").alias("cy"))
+    d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
+    j = a.join(b, [*keys, "cx", "cy"]).where("id <> near").withColumn("distance", d).where(F.col("distance") <= reach)
+    w = Window.partitionBy(*keys, "id").orderBy("distance", "near")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "id", "near", "distance", "rank")

@@ -53,3 +53,30 @@ def nearest_entry(entries: DataFrame, instant: float, window: float) -> DataFram
     """The entry (ord, t) nearest to an instant within the window; equal distances go to the later entry in the list."""
     e = entries.withColumn("dist", F.abs(F.col("t") - instant)).where(F.col("dist") <= window)
     return e.orderBy("dist", F.desc("ord")).limit(1)
+
+
+def cache_decision(policy: F.Column, cached: F.Column, age: F.Column, max_age: F.Column, fetched: F.Column) -> F.Column:
+    """What a manifest request does under a cache policy (offline, prefer-cached, force, refresh): ``cached``, ``fetched``,
+    ``stale`` (an old copy after a failed fetch) or ``error``. ``fetched``: whether a fetch would succeed."""
+    fetch = F.when(fetched, "fetched").otherwise("error")
+    held = F.coalesce(cached, F.lit(False))
+    return (
+        F.when(policy == "offline", F.when(held, "cached").otherwise("error"))
+        .when(policy == "prefer-cached", F.when(held, "cached").otherwise(fetch))
+        .when(policy == "force", fetch)
+        .when(policy == "refresh", F.when(held & (age <= max_age), "cached").when(fetched, "fetched").when(held, "stale").otherwise("error"))
+    )
+
+
+def resolve_path(argument: F.Column, environment: F.Column, configured: F.Column, found: F.Column) -> F.Column:
+    """A data path: the argument, else the environment's, else the configured one, else the deepest catalogue found
+    (array of struct<depth, path>); blanks count as unset."""
+    known = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.coalesce(known(argument), known(environment), known(configured), F.get(F.sort_array(found, asc=False), F.lit(0))["path"])
+
+
+def rolling(snapshots: DataFrame, now: float, keep: float, refresh: float) -> DataFrame:
+    """A rolling history of snapshots (provider, t): the young ones and each provider's newest, marked where that one is due again."""
+    newest = snapshots.groupBy("provider").agg(F.max("t").alias("newest"))
+    j = snapshots.join(newest, "provider")
+    return j.where((F.lit(now) - F.col("t") <= keep) | (F.col("t") == F.col("newest"))).withColumn("due", (F.col("t") == F.col("newest")) & (F.lit(now) - F.col("t") > refresh)).drop("newest")
