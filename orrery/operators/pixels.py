@@ -287,15 +287,22 @@ def local_normalization(source: DataFrame, reference: DataFrame, tile: int, leas
     k = ["f", "ty", "tx"]
     m = _mad(both, k, "v", "s_").join(_mad(both, k, "r", "r_"), k).where((F.col("s_n") >= least) & (F.col("s_sigma") > 0))
     m = m.withColumn("gain", F.col("r_sigma") / F.col("s_sigma")).select("f", "ty", "tx", "gain", (F.col("r_median") - F.col("gain") * F.col("s_median")).alias("offset"))
-    size = m.groupBy("f").agg(F.max("ty").alias("my"), F.max("tx").alias("mx"))
+    # the tiles of a frame as one array, line by line: each pixel reads its four corners in place
+    size = m.groupBy("f").agg(F.max("ty").alias("my"), F.max("tx").alias("mx"), F.map_from_entries(F.collect_list(F.struct(F.struct("ty", "tx"), F.struct("gain", "offset")))).alias("tiles"))
+    at = lambda i: F.struct(F.floor(i / (F.col("mx") + 1)).alias("ty"), (i % (F.col("mx") + 1)).alias("tx"))
+    size = size.select("f", "my", "mx", F.transform(F.sequence(F.lit(0).cast("long"), (F.col("my") + 1) * (F.col("mx") + 1) - 1), lambda i: F.try_element_at("tiles", at(i))).alias("grid"))
     p = source.join(size, "f")
     fy = F.least(F.greatest((F.col("y") + 0.5) / tile - 0.5, F.lit(0.0)), F.col("my").cast("double"))
     fx = F.least(F.greatest((F.col("x") + 0.5) / tile - 0.5, F.lit(0.0)), F.col("mx").cast("double"))
-    p = p.withColumn("fy", fy).withColumn("fx", fx)
-    corners = F.array(*[F.struct(F.least(F.floor("fy") + i, F.col("my")).alias("ty"), F.least(F.floor("fx") + j, F.col("mx")).alias("tx"), ((F.col("fy") - F.floor("fy")) if i else (F.lit(1.0) - (F.col("fy") - F.floor("fy")))).alias("wy"), ((F.col("fx") - F.floor("fx")) if j else (F.lit(1.0) - (F.col("fx") - F.floor("fx")))).alias("wx")) for i in (0, 1) for j in (0, 1)])
-    e = p.select("f", "y", "x", "v", F.explode(corners).alias("c")).select("f", "y", "x", "v", "c.ty", "c.tx", (F.col("c.wy") * F.col("c.wx")).alias("w"))
-    j = e.join(m, ["f", "ty", "tx"]).groupBy("f", "y", "x").agg(F.first("v").alias("v"), F.sum(F.col("w") * F.col("gain")).alias("gain"), F.sum(F.col("w") * F.col("offset")).alias("offset"))
-    return j.select("f", "y", "x", (F.col("v") * F.col("gain") + F.col("offset")).alias("v"))
+    p = p.select("f", "y", "x", "v", "my", "mx", "grid", fy.alias("fy"), fx.alias("fx"))
+    gain, offset, known = F.lit(0.0), F.lit(0.0), F.lit(False)
+    for i in (0, 1):
+        for j in (0, 1):
+            wy, wx = (c - F.floor(c) if k else F.lit(1.0) - (c - F.floor(c)) for c, k in ((F.col("fy"), i), (F.col("fx"), j)))
+            place = F.least(F.floor("fy") + i, F.col("my")) * (F.col("mx") + 1) + F.least(F.floor("fx") + j, F.col("mx"))
+            corner = F.get(F.col("grid"), place.cast("int"))
+            gain, offset, known = gain + F.coalesce(wy * wx * corner["gain"], F.lit(0.0)), offset + F.coalesce(wy * wx * corner["offset"], F.lit(0.0)), known | corner.isNotNull()
+    return p.where(known).select("f", "y", "x", (F.col("v") * gain + offset).alias("v"))
 
 
 def second_difference_noise(frames: DataFrame) -> DataFrame:
@@ -332,37 +339,38 @@ def crop(frames: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFr
 
 
 def components(mask: DataFrame, eight: bool = True) -> DataFrame:
-    """Labels of connected components of mask rows (f, y, x), by runs: each line's runs touch the runs of the line before, and
-    their links settle by the smallest label with pointer jumping; labels are the first pixel's position. Small frames only
-    meet in a task; a frame larger than that is cut by the caller."""
+    """Labels of connected components of mask rows (f, y, x), numbered by their first pixel. A frame meets in one task, where
+    each line's runs are linked with the runs they touch in the line before and settle by the smallest label with pointer
+    jumping, all as arrays over runs."""
     import pandas as pd
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
         order = np.lexsort((x, y))
         y, x = y[order], x[order]
-        index = {(a, b): i for i, (a, b) in enumerate(zip(y.tolist(), x.tolist()))}
-        near = [(-1, -1), (-1, 0), (-1, 1), (0, -1)] if eight else [(-1, 0), (0, -1)]
-        parent = list(range(len(y)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i, (a, b) in enumerate(zip(y.tolist(), x.tolist())):
-            for dy, dx in near:
-                j = index.get((a + dy, b + dx))
-                if j is not None:
-                    p, q = find(i), find(j)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-        roots = [find(i) for i in range(len(y))]
-        first = {r: k for k, r in enumerate(dict.fromkeys(roots))}
-        out = pd.DataFrame({"f": pdf["f"].iloc[0], "y": y, "x": x, "component": [first[r] for r in roots]})
+        first = np.flatnonzero(np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)]))
+        last = np.append(first[1:], len(y)) - 1
+        touch, width = int(eight), int(x.max() - x.min()) + 4
+        line, left, right = y[first], x[first] - x.min(), x[last] - x.min()
+        lo = np.searchsorted(line * width + right, (line - 1) * width + np.maximum(left - touch, 0))
+        hi = np.searchsorted(line * width + left, (line - 1) * width + right + touch, "right")
+        count = np.maximum(hi - lo, 0)
+        a = np.repeat(np.arange(len(first)), count)
+        b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+        root = np.arange(len(first))
+        while len(a):
+            p, q = root[a], root[b]
+            apart = p != q
+            if not apart.any():
+                break
+            a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+            np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+            while (root[root] != root).any():
+                root = root[root]
+        _, number = np.unique(root, return_inverse=True)
+        out = pd.DataFrame({"f": pdf["f"].iloc[0], "y": y, "x": x, "component": np.repeat(number, last - first + 1)})
         return out.astype({"y": "int32", "x": "int32", "component": "int32"})
 
     return mask.select("f", "y", "x").groupBy("f").applyInPandas(label, "f long, y int, x int, component int")

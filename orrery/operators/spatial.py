@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import acos, cos, degrees, radians, sqrt
+from math import acos, asin, atan2, cos, degrees, radians, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from ..functions.sky import TileGrid, angle, cross, dot, separation, unit_vector
 GRID = TileGrid(45)
 #: Rows of a side at most for a broadcast; beyond it both sides are dealt by tile.
 BROADCAST_ROWS = 100_000
+#: Half extents, in degrees, that a region's tiles are widened by.
+WIDE = 1.0
 
 
 @dataclass(frozen=True)
@@ -109,10 +111,15 @@ _SORTS = {
 def region_query(objects: DataFrame, region: Cone | Polygon, kinds: list[str] | None = None, max_mag: float | None = None, min_major: float | None = None, named_only: bool = False, extents: bool = True, sort: str = "prominence", limit: int | None = None) -> DataFrame:
     """Objects in or (with ``extents``) overlapping a region, ranked. Cheap filters come first; unknown measures fail them.
 
-    ``objects``: id, kind, ra, dec, mag, major_arcmin, name, common_name. Ties go to size, then id. The tile list is folded
-    into the plan, widened by the largest extent, so a table laid out by ``tile`` is read in part.
+    ``objects``: id, kind, ra, dec, mag, major_arcmin, name, common_name. Ties go to size, then id. Where the table has
+    a column ``tile`` (as the sink lays it out), the tiles that the region may touch, and with ``extents`` the objects over
+    ``WIDE`` degrees wherever they are, are folded into the plan as a filter that reaches the scan.
     """
     df = objects
+    if "tile" in objects.columns:
+        x, y, z = region.center()
+        near = F.col("tile").isin(GRID.cover_literal(degrees(atan2(y, x)) % 360, degrees(asin(max(-1.0, min(1.0, z)))), region.radius + (WIDE if extents else 0.0) + 1e-6))
+        df = df.where(near | (F.col("major_arcmin") > WIDE * 120.0) if extents else near)
     if kinds:
         df = df.where(F.col("kind").isin(kinds))
     if max_mag is not None:

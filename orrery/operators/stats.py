@@ -79,3 +79,15 @@ def otsu(df: DataFrame, keys: list[str], value: str = "g") -> DataFrame:
 def strided(df: DataFrame, position: str, n: int, most: int) -> DataFrame:
     """A bounded sample before analysis: every k-th position, the same on every run."""
     return df.where(F.col(position) % max(1, n // most) == 0)
+
+
+def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """Numbers the rows of a table in an order, from 1, without one task that holds them all: ``bucket`` rises with the order and
+    cuts the table into parts, which are numbered apart; only the buckets' counts meet in one place."""
+    b = df.withColumn("__bucket", bucket)
+    counts = b.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
+    j = b.withColumn("__rank", inside).join(starts, "__bucket")
+    return j.withColumn(name, (F.col("__rank") + F.col("__start")).cast("int")).drop("__bucket", "__rank", "__start")

@@ -58,6 +58,12 @@ def _poly_sql() -> str:
     return cte("v_object") + f", h AS (SELECT *, {d} AS d, {' AND '.join(tests)} AS ins FROM v_object), p AS (SELECT *, {_prominence('ins', POLYGON.radius)} AS p FROM h WHERE ins) SELECT {_HITS.format(d='d', p='p')} FROM p"
 
 
+@query(_poly_sql())
+def region_query_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygon query on a table laid out by tile: the tile list reaches the scan."""
+    return _hits(spatial.region_query(spatial.with_tile(view(spark, sf_dir, "v_object")), POLYGON, extents=False))
+
+
 @query(_poly_sql())
 def region_query_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spatial.region_query(view(spark, sf_dir, "v_object"), POLYGON, extents=False, sort="size"))

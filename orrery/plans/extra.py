@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import astro, names
-from ..operators import catalog, pixels, spatial
+from ..operators import catalog, pixels, spatial, stats
 from .catalog import _KEY
 from .registry import query
 from .sequences import FRAME, R, frames
@@ -55,7 +54,8 @@ def result_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = [*spatial._SORTS["size"](), F.asc("id")]
     mag = [*spatial._SORTS["magnitude"](), F.desc(F.coalesce("major_arcmin", F.lit(0.0))), F.asc("id")]
     o = view(spark, sf_dir, "v_object").where(F.col("dec").between(-10.0, 10.0))
-    return o.select("id", F.row_number().over(Window.orderBy(*size)).alias("by_size"), F.row_number().over(Window.orderBy(*mag)).alias("by_magnitude"))
+    o = stats.ranked(o, -F.floor(F.coalesce("major_arcmin", F.lit(0.0))), size, "by_size")
+    return stats.ranked(o, F.coalesce(F.floor("mag"), F.lit(1_000)), mag, "by_magnitude").select("id", "by_size", "by_magnitude")
 
 
 @query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('Sh2-', CAST(c_custkey AS VARCHAR)) WHEN 1 THEN concat('Ced ', CAST(c_custkey AS VARCHAR)) ELSE concat('LBN ', CAST(c_custkey AS VARCHAR)) END AS alias, CASE c_custkey % 3 WHEN 0 THEN concat('vizier:VII/20:Sh2-', CAST(c_custkey AS VARCHAR)) WHEN 1 THEN concat('vizier:VII/231:Ced', CAST(c_custkey AS VARCHAR)) ELSE concat('vizier:VII/9:LBN', CAST(c_custkey AS VARCHAR)) END AS stable_id FROM customer")

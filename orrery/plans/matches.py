@@ -166,6 +166,12 @@ def hypothesis_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solving.suppress(solving.votes(h, ["bx", "bz"], "id"), ["bx", "bz"]).select("bx", "bz", "votes", "first", "smoothed")
 
 
+@query(cte("v_cand") + " SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN captured IS NULL THEN 4611686018427387904 ELSE abs(1705000000 - captured) END, id) AS INTEGER) AS place FROM v_cand")
+def proximity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = view(spark, sf_dir, "v_cand").select("id", "captured", F.lit(1705000000).cast("bigint").alias("reference"))
+    return matching.by_time(c, "captured", "reference").select("id", F.col("order").alias("place"))
+
+
 # --- projections and orbits
 
 WCS = Wcs.simple(150.0, 35.0, 800.0, 600.0, 2.5, 20.0)

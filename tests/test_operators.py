@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import astro, curves
 from orrery.functions.sky import TileGrid, Wcs, bearing, separation
-from orrery.operators import admission, fold, kernels, merge, orbits, pixels, solver, spatial
+from orrery.operators import admission, fold, kernels, matching, merge, orbits, pixels, solver, spatial
 
 
 def pixel_rows(spark, a, f=0):
@@ -474,3 +474,46 @@ def test_blind_votes_count_all_look_ups(spark):
     got = solver.ranked_bins(noise.unionAll(true), 4)
     assert len(got) == 300
     assert [(r["x"], r["n"], r["score"], r["lead"]["ra"], r["lead"]["error"]) for r in got[:2]] == [(5002, 7, 10, 5002.0, 0.002), (5001, 3, 10, 5002.0, 0.002)]
+
+
+def test_components_equal_a_flood_fill(spark):
+    rng = np.random.default_rng(8)
+    masks = [rng.random((20, 31)) < p for p in (0.3, 0.5, 0.7)]
+    rows = [(k, int(y), int(x)) for k, m in enumerate(masks) for y, x in zip(*np.nonzero(m))]
+    df = spark.createDataFrame(rows, "f long, y int, x int")
+    for eight in (True, False):
+        near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
+        want = {}
+        for k, m in enumerate(masks):
+            n = 0
+            for start in zip(*(v.tolist() for v in np.nonzero(m))):
+                if (k, *start) in want:
+                    continue
+                todo = [start]
+                while todo:
+                    y, x = todo.pop()
+                    if 0 <= y < m.shape[0] and 0 <= x < m.shape[1] and m[y, x] and (k, y, x) not in want:
+                        want[k, y, x] = n
+                        todo += [(y + a, x + b) for a, b in near]
+                n += 1
+        assert {(r["f"], r["y"], r["x"]): r["component"] for r in pixels.components(df, eight).collect()} == want
+
+
+def test_ranks_need_no_single_task(spark):
+    df = spark.range(500).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE (id * 37) % 101 END AS t")
+    got = [r["id"] for r in matching.by_time(df.selectExpr("id", "t * 86400 AS t", "CAST(0 AS BIGINT) AS ref"), "t", "ref").orderBy("order").collect()]
+    key = lambda i: (2**62 if i % 7 == 0 else (i * 37) % 101 * 86400, i)
+    assert got == sorted(range(500), key=key)
+    nothing = matching.by_time(df.selectExpr("id", "t", "CAST(NULL AS BIGINT) AS ref"), "t", "ref").orderBy("order")
+    assert [r["id"] for r in nothing.collect()] == list(range(500))
+
+
+def test_region_query_reaches_the_scan(spark, tmp_path):
+    objects = spark.range(4000).selectExpr("id", "'g' AS kind", "CAST((id * 137508) % 360000 AS DOUBLE) / 1000 AS ra", "CAST((id * 61803) % 180001 AS DOUBLE) / 1000 - 90 AS dec", "CAST(id % 15 AS DOUBLE) AS mag", "CAST(id % 400 AS DOUBLE) AS major_arcmin", "'n' AS name", "'' AS common_name")
+    spatial.with_tile(objects).repartitionByRange(8, "tile").sortWithinPartitions("tile").write.parquet(str(tmp_path / "o"))
+    laid = spark.read.parquet(str(tmp_path / "o"))
+    for region in (spatial.Cone(359.0, 10.0, 4.0), spatial.Cone(120.0, 88.0, 5.0), spatial.Polygon(((340.0, -20.0), (20.0, -20.0), (20.0, 20.0), (340.0, 20.0)))):
+        for extents in (True, False):
+            pruned = spatial.region_query(laid, region, extents=extents)
+            assert {r["id"] for r in pruned.collect()} == {r["id"] for r in spatial.region_query(objects, region, extents=extents).collect()}
+            assert "tile" in pruned._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("ReadSchema")[0]
