@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -13,14 +14,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where ``spark.checkpoint.dir`` is unset (tests, local mode) one is made here."""
+    """The folder all executors share. Only where ``spark.checkpoint.dir`` is unset in local mode (tests) one is made here."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -48,7 +52,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``materialize`` wrote, where nothing will read it again."""
+    _remove(df.sparkSession, df.written_at)
+
+
+def whole_ids(df: DataFrame, column: str) -> Column:
+    """An id column as long; components are named by their smallest id, so ids must be whole numbers."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise ValueError(f"{column} must hold whole numbers")
+    return F.col(column).cast("long")
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -146,6 +164,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
         new = materialize(small.mapInArrow(_contract, "a long, b long").distinct(), "links")
         stats = new.agg(F.count("*").alias("n"), F.countDistinct("b").alias("d")).first()
+        discard(edges)
         roots_below = new.alias("x").join(new.alias("y"), F.col("x.a") == F.col("y.b"), "left_semi").limit(1).count()
         edges, n = new, stats["n"]
         if stats["n"] == stats["d"] and not roots_below:

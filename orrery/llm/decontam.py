@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, unused
 
 WINDOW = 10
 #: Test terms, or probes, at most for a broadcast (some 60 MB); beyond it the join shuffles.
@@ -136,6 +136,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of any item."""
-    hits = matches(tokenize(docs), windows(items)).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct()
+    doc, th = unused(docs, "doc", "th")
+    hits = matches(tokenize(docs), windows(items)).select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct()
     hits = _bounded(materialize(hits, "hits"))  # so few keys need not move the texts
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__th")), "left_anti")
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left_anti")

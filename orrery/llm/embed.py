@@ -20,14 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, min_labels, tidied
+from .common import components, materialize, min_labels, tidied, whole_ids
 
 COSINE, LEAD, BLOCK, LEAF = 0.93, 6, 1024, 64
 #: Longest vector whose covariance is summed (its square goes to the driver); longer ones keep their given axes.
 AXES = 1024
+#: Different lengths of vectors whose axes are computed, a pass and a table each; with more, all keep their given axes.
+LENGTHS = 16
 _SLACK = 1e-9
 
 
@@ -105,20 +108,16 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept, for every row."""
     eps = float(np.sqrt(2 - 2 * cosine)) + _SLACK
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
+    rows = vectors.select(whole_ids(vectors, vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     # -0.0 and 0.0 are one component; so equal vectors have one hash and one group
     rows = rows.withColumn("v", F.when(F.coalesce(usable, F.lit(False)), F.transform("v", lambda c: c + F.lit(0.0))))
     groups = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
     groups = materialize(groups.withColumn("g", F.xxhash64("label", "v")), "vectors")
-    dims = [r[0] for r in groups.select(F.size("v")).distinct().collect()]
-    counted = None
-    for dim in sorted(dims):
-        part = _join(groups.where(F.size("v") == dim), dim, eps, cosine)
-        counted = part if counted is None else counted.union(part)
-    if counted is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    counted = materialize(counted, "links")
+    dims = [r[0] for r in groups.select(F.size("v")).distinct().limit(LENGTHS + 1).collect()]
+    axes = {dim: principal_axes(groups.where(F.size("v") == dim), dim) for dim in dims} if len(dims) <= LENGTHS else {}
+    # vectors of different lengths never meet: the length is a part of what must be equal
+    counted = materialize(_join(groups.withColumn("label", F.concat_ws(":", F.size("v").cast("string"), "label")), axes, eps, cosine), "links")
     found = components(counted.where("other is not null").select(F.col("g").alias("a"), F.col("other").alias("b")))
     n = counted.groupBy("g").agg(F.sum("n").alias("n"))
     table = groups.select("label", "v", "g", "rep", "w").join(n, "g", "left").join(found, F.col("g") == F.col("node"), "left").withColumn("root", F.coalesce("root", "g"))
@@ -130,18 +129,25 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _join(groups: DataFrame, dim: int, eps: float, cosine: float) -> DataFrame:
-    """(g long, n long, other long): weighted link counts by vector, and links enough to connect what links."""
+def _leading(y: np.ndarray) -> np.ndarray:
+    """The ``LEAD`` leading coordinates; shorter vectors are filled up with zeros."""
+    return np.pad(y[:, :LEAD], ((0, 0), (0, max(0, LEAD - y.shape[1]))))
+
+
+def _join(groups: DataFrame, axes: dict[int, np.ndarray], eps: float, cosine: float) -> DataFrame:
+    """(g long, n long, other long): weighted link counts by vector, and links enough to connect what links. Vectors of one
+    label have one length; ``axes`` by length, missing ones stay as given."""
     spark = groups.sparkSession
-    axes = spark.sparkContext.broadcast(principal_axes(groups, dim))
-    lead = min(LEAD, dim)
+    turns = spark.sparkContext.broadcast(axes)
+    lead = LEAD
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, dim in ((b, d) for b in batches for d in pc.unique(pc.list_value_length(b.column(3))).to_pylist()):
+            batch = whole.filter(pc.equal(pc.list_value_length(whole.column(3)), dim))
             x = _matrix(batch.column(3))
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            y = x @ axes.value
-            cells = np.floor(y[:, :lead] / eps).astype(np.int64)
+            y = x @ turns.value[dim] if dim in turns.value else x
+            cells = np.floor(_leading(y) / eps).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"label": batch.column(0), "g": batch.column(1), "w": batch.column(2), "x": [r.tobytes() for r in y], "cell": cells.tolist()})
 
     placed = groups.select("label", "g", "w", "v").mapInArrow(tidied(place), "label string, g long, w long, x binary, cell array<long>")
@@ -152,7 +158,7 @@ def _join(groups: DataFrame, dim: int, eps: float, cosine: float) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             label, g, w, x = zip(*held)
-            y = np.frombuffer(b"".join(x)).reshape(len(x), -1)[:, :lead]
+            y = _leading(np.frombuffer(b"".join(x)).reshape(len(x), -1))
             return pa.RecordBatch.from_pydict({"label": [label[0]], "id": [g[0]], "g": [list(g)], "w": [list(w)], "x": [b"".join(x)], "lo": [y.min(0).tolist()], "hi": [y.max(0).tolist()]})
 
         for batch in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, min_labels, tidied
+from .common import components, materialize, min_labels, tidied, unused, whole_ids
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Rows of one deal at most before it is cut into parts.
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             fp = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
+    return docs.select(whole_ids(docs, doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def trie_components(x: np.ndarray, budget: int) -> np.ndarray:
@@ -199,11 +199,12 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id names their component; rows equal in doc_id and text are one."""
+    [name] = unused(docs, "gone")
     found = materialize(near_duplicates(docs, budget), "components")
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")).where("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")).where("not kept").select(F.col("doc_id").alias(name))
     gone = materialize(gone, "gone")
     if gone.count() <= BROADCAST_ROWS:  # so few keys need not move the texts
         gone = F.broadcast(gone)
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
     counts = found.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("d")).first()
     return out if counts["n"] == counts["d"] else out.dropDuplicates(["doc_id", "text"])
