@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, extra, images, kernels, matches, records, sequences  # noqa: F401
+from . import catalog, extra, images, kernels, matches, readers, records, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
