@@ -139,3 +139,14 @@ def body_violations(bodies: DataFrame) -> DataFrame:
         ("open_asteroid", (F.col("kind") == "asteroid") & (F.col("eccentricity") >= 1)), ("bad_angle", ~F.coalesce(F.col("inclination_deg").between(0, 180), F.lit(False))),
     ]
     return bodies.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in bad]))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def write_bodies(bodies: DataFrame, path: str) -> None:
+    """The sink of minor bodies, brightest first, so that a reader with a magnitude limit skips the rest."""
+    bodies.repartitionByRange("h_mag", "name").sortWithinPartitions("h_mag", "name").write.parquet(path)
+
+
+def read_bodies(spark, path: str, max_h: float | None = None) -> DataFrame:
+    """Saved minor bodies, those up to an absolute magnitude if one is given (unknown ones are kept)."""
+    b = spark.read.parquet(path)
+    return b if max_h is None else b.where(F.col("h_mag").isNull() | (F.col("h_mag") <= max_h))

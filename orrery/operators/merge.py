@@ -24,6 +24,11 @@ def resolve(new: DataFrame, catalog: DataFrame, columns: list[str]) -> DataFrame
     return out.select("id", F.when(F.col("n") == 1, F.col("cid")).alias("target"), status.alias("status"))
 
 
+def tally(resolved: DataFrame) -> DataFrame:
+    """One row: how many rows of ``resolve`` were added, merged and ambiguous."""
+    return resolved.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "merged", "ambiguous")])
+
+
 def merge(records: DataFrame, key: str, priority: str, measures: list[str], lists: list[str]) -> DataFrame:
     """One record a key: measures keep the first known value by priority, lists are united."""
     p = F.col(priority)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, extra, images, kernels, matches, readers, records, sequences, stores  # noqa: F401
+from . import catalog, extra, images, kernels, masters, matches, readers, records, sequences, stores  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

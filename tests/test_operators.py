@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import astro, curves
 from orrery.functions.sky import TileGrid, Wcs, bearing, separation
-from orrery.operators import admission, fold, kernels, matching, merge, orbits, pixels, solver, spatial
+from orrery.operators import admission, fold, kernels, matching, merge, orbits, pixels, solver, solving, spatial
 
 
 def pixel_rows(spark, a, f=0):
@@ -517,3 +517,60 @@ def test_region_query_reaches_the_scan(spark, tmp_path):
             pruned = spatial.region_query(laid, region, extents=extents)
             assert {r["id"] for r in pruned.collect()} == {r["id"] for r in spatial.region_query(objects, region, extents=extents).collect()}
             assert "tile" in pruned._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("ReadSchema")[0]
+
+
+def test_rank_robust_solve():
+    rng = np.random.default_rng(21)
+    wcs, xy, ra, dec, mag = synthetic_sky()
+    mixed = rng.permutation(np.concatenate([xy, rng.uniform((0, 0), (1600, 1200), (80, 2))]))
+    for mirrored in (False, True):
+        stars = mixed * [-1, 1] + [1600, 0] if mirrored else mixed
+        out = solver.solve_rank_robust(stars, ra, dec, mag, (150.2, 35.1), (2.5, 0.05), (1600, 1200))
+        assert out is not None and out["matches"] >= 20 and out["rms_px"] < 0.5
+        assert np.allclose(out["wcs"].world(800, 600), wcs.world(800, 600), atol=1e-3) and abs(out["wcs"].scale - 2.5) < 1e-3
+    assert solver.solve(mixed, ra, dec, mag, (150.2, 35.1), (2.5, 0.05), (1600, 1200)) is not None
+    noise = rng.uniform((0, 0), (1600, 1200), (60, 2))
+    assert solver.solve_rank_robust(noise, ra, dec, mag, (150.2, 35.1), (2.5, 0.05), (1600, 1200)) is None
+    assert solver.solve_rank_robust(mixed[:10], ra, dec, mag, (150.2, 35.1), (2.5, 0.05), (1600, 1200)) is None
+    assert solver.solve_rank_robust(mixed, ra, dec, mag, (150.2, 35.1), (2.5, 0.05), (1600, 1200), budget=10) is None
+
+
+def test_mapping_regions():
+    rng = np.random.default_rng(4)
+    image = rng.normal(10, 2, (40, 50))
+    t, after = np.array([[1.0, 0.02, 3.0], [-0.02, 1.0, -2.0]]), np.array([[-1.0, 0.0, 49.0], [0.0, 1.0, 0.0]])
+    m = kernels.Mapping(t, (40, 50), 2.0, -1.0)
+    whole = kernels.resample(image, kernels.invert(t), (40, 50)) * 2 - 1
+    assert np.allclose(m.extract(image, (5, 7, 10, 20)), whole[5:15, 7:27], equal_nan=True)
+    assert np.allclose(m.extract(image, (5, 7, 10, 20), after), whole[:, ::-1][5:15, 7:27], equal_nan=True)
+    local = kernels.Mapping(t, (40, 50), np.full((40, 50), 2.0), np.full((40, 50), -1.0))
+    assert np.allclose(local.extract(image, (5, 7, 10, 20)), whole[5:15, 7:27], equal_nan=True)
+    assert np.allclose(local.extract(image, None, after), whole[:, ::-1], equal_nan=True)
+    for bad in (dict(transform=t, shape=(0, 50)), dict(transform=np.zeros((2, 3)), shape=(40, 50)), dict(transform=t, shape=(40, 50), gain=np.ones((2, 2)))):
+        with pytest.raises(ValueError):
+            kernels.Mapping(**bad)
+    with pytest.raises(ValueError):
+        m.extract(image, (35, 0, 10, 10))
+
+
+def test_pattern_index_that_breaks_a_rule(spark, tmp_path):
+    p = spark.sql("SELECT 1L AS pattern_id, 0.5D AS max_edge_deg, array(named_struct('x', 1D, 'y', 2D)) AS points")
+    solving.write_index(p, spark.sql("SELECT 7L AS key, 1L AS pattern_id UNION ALL SELECT 7L, 2L"), str(tmp_path / "i"))
+    with pytest.raises(ValueError, match="missing-pattern 1"):
+        solving.open_index(spark, str(tmp_path / "i"))
+    assert solving.open_index(spark, str(tmp_path / "i"), False)[1].count() == 2
+
+
+def test_master_inputs_with_an_exposure_override(spark):
+    from orrery.operators import masters, matching
+
+    sig = "named_struct('camera', 'c', 'width', 10L, 'exposure', {e})"
+    rows = [(1, "a", "30D"), (2, "b", "CAST(NULL AS DOUBLE)"), (3, "c", "31D"), (4, "a", "30D")]
+    f = spark.sql(" UNION ALL ".join(f"SELECT 1 AS set, {o} AS ord, '{p}' AS path, false AS is_master, false AS calibrated, 'dark' AS role, {sig.format(e=e)} AS m" for o, p, e in rows))
+    rules = matching.Rules(["camera", "width", "exposure"])
+    got = lambda df: {r["ord"]: r["reason"] for r in df.collect()}
+    assert got(masters.inputs(f, "dark", rules)) == {1: None, 2: "missing-exposure", 3: "exposure", 4: "duplicate"}
+    judged = masters.inputs(f, "dark", rules, exposure=30.0)
+    assert got(judged) == {1: None, 2: None, 3: None, 4: "duplicate"}
+    assert masters.builds(judged).first()["ready"] and not masters.builds(masters.inputs(f, "dark", rules)).first()["ready"]
+    assert set(got(masters.inputs(f, "bias", rules)).values()) == {"role", "duplicate"}
