@@ -180,13 +180,14 @@ def nearest_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFr
 
 
 def inlier_census(candidates: DataFrame, stars: DataFrame, tolerance: float) -> DataFrame:
-    """Candidate points (x, y) with any star within the tolerance: a semi-join by cell."""
+    """Candidate points (x, y) with any star within the tolerance: a semi-join by cell. Each star is there nine times, which the
+    planner's size of its table does not tell, so the stars are never broadcast: both sides are dealt by cell."""
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     s = stars.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode(around).alias("n"))
     s = s.select("sx", "sy", (F.floor(F.col("sx") / tolerance) + F.col("n.i")).alias("cx"), (F.floor(F.col("sy") / tolerance) + F.col("n.j")).alias("cy"))
     c = candidates.withColumn("__cx", F.floor(F.col("x") / tolerance)).withColumn("__cy", F.floor(F.col("y") / tolerance))
     near = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy")) <= tolerance * tolerance
-    return c.join(s, (F.col("__cx") == F.col("cx")) & (F.col("__cy") == F.col("cy")) & near, "left_semi").drop("__cx", "__cy")
+    return c.join(s.hint("merge"), (F.col("__cx") == F.col("cx")) & (F.col("__cy") == F.col("cy")) & near, "left_semi").drop("__cx", "__cy")
 
 
 def position_dedup(new: DataFrame, old: DataFrame, radius: float, grid: TileGrid = GRID) -> DataFrame:

@@ -574,3 +574,16 @@ def test_master_inputs_with_an_exposure_override(spark):
     assert got(judged) == {1: None, 2: None, 3: None, 4: "duplicate"}
     assert masters.builds(judged).first()["ready"] and not masters.builds(masters.inputs(f, "dark", rules)).first()["ready"]
     assert set(got(masters.inputs(f, "bias", rules)).values()) == {"role", "duplicate"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inlier_census_deals_both_sides(spark):
+    points = spark.range(60).selectExpr("id", "CAST(id * 37 % 100 AS DOUBLE) AS x", "CAST(id * 61 % 89 AS DOUBLE) AS y")
+    c, s = points.where("id < 30"), points.where("id >= 30").select((F.col("x") + 3.0).alias("x"), "y")
+    found = spatial.inlier_census(c, s, 8.0)
+    assert "BroadcastExchange" not in plan_of(found)
+    want = {p["id"] for p in c.collect() if any((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 <= 64 for q in s.collect())}
+    assert {r["id"] for r in found.collect()} == want and 0 < len(want) < 30
