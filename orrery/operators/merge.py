@@ -16,12 +16,23 @@ def designations(objects: DataFrame, columns: list[str]) -> DataFrame:
 
 def resolve(new: DataFrame, catalog: DataFrame, columns: list[str]) -> DataFrame:
     """new id to catalogue id where its designations name exactly one object of another source: id, target, status
-    (merged, ambiguous, added)."""
-    a, b = designations(new, columns), designations(catalog, columns).select(F.col("id").alias("cid"), F.col("source").alias("csource"), "key")
-    hits = a.join(b, "key").where("source <> csource").groupBy("id").agg(F.count_distinct("cid").alias("n"), F.min("cid").alias("cid"))
+    (merged, ambiguous, added).
+
+    No pair of objects is made: whether the objects of other sources are none, one or more is told by their least and greatest id,
+    so a key needs the extreme ids over all sources and those over all sources but the one that holds the extreme."""
+    a = designations(new, columns).where("source IS NOT NULL")
+    b = designations(catalog, columns).where("source IS NOT NULL").groupBy("key", "source").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    first = b.groupBy("key").agg(F.min(F.struct("lo", "source")).alias("least"), F.max(F.struct("hi", "source")).alias("most"))
+    other = lambda end: F.when(F.col("source") != F.col(f"{end}.source"), F.col("lo" if end == "least" else "hi"))
+    second = b.join(first, "key").groupBy("key").agg(F.min(other("least")).alias("lo2"), F.max(other("most")).alias("hi2"))
+    j = a.join(first.join(second, "key"), "key")
+    lo = F.when(F.col("source") != F.col("least.source"), F.col("least.lo")).otherwise(F.col("lo2"))
+    hi = F.when(F.col("source") != F.col("most.source"), F.col("most.hi")).otherwise(F.col("hi2"))
+    hits = j.groupBy("id").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
     out = new.select("id").join(hits, "id", "left")
-    status = F.when(F.col("n") == 1, "merged").when(F.col("n") > 1, "ambiguous").otherwise("added")
-    return out.select("id", F.when(F.col("n") == 1, F.col("cid")).alias("target"), status.alias("status"))
+    one = F.col("lo") == F.col("hi")
+    status = F.when(one, "merged").when(~one, "ambiguous").otherwise("added")
+    return out.select("id", F.when(one, F.col("lo")).alias("target"), status.alias("status"))
 
 
 def tally(resolved: DataFrame) -> DataFrame:

@@ -587,3 +587,16 @@ def test_inlier_census_deals_both_sides(spark):
     assert "BroadcastExchange" not in plan_of(found)
     want = {p["id"] for p in c.collect() if any((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 <= 64 for q in s.collect())}
     assert {r["id"] for r in found.collect()} == want and 0 < len(want) < 30
+
+
+def test_resolve_makes_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [None, "a", "b", "c"][rng.integers(4)], *[[None, "", *(f"n{k}" for k in range(40))][rng.integers(42)] for _ in range(2)]) for i in range(60)]
+    o = spark.createDataFrame(rows, "id long, source string, name string, alias string")
+    crowd = spark.range(60_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source", "'one' AS name")
+    assert merge.resolve(crowd, crowd, ["name"]).where("status = 'ambiguous'").count() == 60_000  # 1.8 billion pairs by a plain join
+    got = {r["id"]: (r["status"], r["target"]) for r in merge.resolve(o, o, ["name", "alias"]).collect()}
+    assert len({s for s, _ in got.values()}) == 3
+    for i, source, *names in rows:
+        hits = {j for j, other, *n in rows if source and other and source != other and {x for x in names if x} & {x for x in n if x}}
+        assert got[i] == (("merged", min(hits)) if len(hits) == 1 else ("ambiguous" if hits else "added", None))
