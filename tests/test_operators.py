@@ -600,3 +600,8 @@ def test_resolve_makes_no_pairs(spark):
     for i, source, *names in rows:
         hits = {j for j, other, *n in rows if source and other and source != other and {x for x in names if x} & {x for x in n if x}}
         assert got[i] == (("merged", min(hits)) if len(hits) == 1 else ("ambiguous" if hits else "added", None))
+
+
+def test_tally_of_one_crowded_name(spark):
+    many = spark.range(120_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source", "'one' AS name")
+    assert merge.tally(merge.resolve(many, many, ["name"])).first().asDict() == {"added": 0, "merged": 0, "ambiguous": 120_000}
