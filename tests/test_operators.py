@@ -655,3 +655,8 @@ def test_plan_of_many_equal_darks(spark):
     got = _plan_of_equal_frames(spark, "dark", 2000)  # all sets of all anchors would be eight billion tests a reference
     assert len(got) == 300 and {(x["n_sensor"], x["n_matched"], x["n_selected"], x["ready"]) for x in got} == {(2000, 2000, 2000, True)}
     assert {x["selected"] for x in got} == {",".join(map(str, range(2000)))}
+
+
+def test_plan_of_many_equal_flats(spark):
+    got = _plan_of_equal_frames(spark, "flat", 1500)
+    assert len(got) == 300 and {(x["n_matched"], x["n_optics"], x["selected"]) for x in got} == {(1500, 0, ",".join(map(str, range(1500))))}
