@@ -237,14 +237,36 @@ def read_tiles(spark, path: str, cone: Cone | None = None, max_mag: float | None
     return df
 
 
+#: Cell pairs for each point at most, where cells are still made finer, and how often they are made a fourth as wide.
+CELL_PAIRS, FINER = 8, 8
+
+
 def nearest_neighbours(points: DataFrame, keys: list[str], k: int, reach: float) -> DataFrame:
     """The ``k`` nearest points of each point (id, x, y) in its group, within ``reach``: keys, id, near, distance, rank.
-    Equal distances go by id. Points meet by cells as wide as the reach, nine for each anchor."""
-    cell = lambda c: F.floor(F.col(c) / reach)
+    Equal distances go by id.
+
+    Points meet by cells, nine for each anchor. Where cells as wide as the reach hold many points, the search begins with finer
+    ones: an anchor with ``k`` points within a cell's width is done, the others go on with cells four times as wide, up to
+    the reach. Of points in one place only the first ``k`` + 1 by id can be among an anchor's nearest."""
+    place = Window.partitionBy(*keys, "x", "y").orderBy("id")
+    near = points.select(*keys, "id", "x", "y").withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= k + 1).drop("__r")
+    cell = lambda c, h: F.floor(F.col(c) / (h * (1 + 1e-9)))  # noqa: E731  the margin covers the division's rounding
+    widths = [reach / 4**i for i in range(FINER)]
+    crowd = near.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), cell("x", h).alias("cx"), cell("y", h).alias("cy")) for i, h in enumerate(widths)])).alias("c"), *keys)
+    crowd = crowd.groupBy("c", *keys).agg(F.count("*").alias("n")).groupBy("c.i").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"), F.sum("n").alias("n"))
+    fits = [r["i"] for r in crowd.collect() if r["pairs"] <= CELL_PAIRS * r["n"]]  # a row a width
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = points.select(*keys, "id", "x", "y", F.explode(around).alias("n")).select(*keys, "id", "x", "y", (cell("x") + F.col("n.i")).alias("cx"), (cell("y") + F.col("n.j")).alias("cy"))
-    b = points.select(*keys, F.col("id").alias("near"), F.col("x").alias("nx"), F.col("y").alias("ny"), cell("x").alias("cx"), cell("y").alias("cy"))
     d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-    j = a.join(b, [*keys, "cx", "cy"]).where("id <> near").withColumn("distance", d).where(F.col("distance") <= reach)
     w = Window.partitionBy(*keys, "id").orderBy("distance", "near")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "id", "near", "distance", "rank")
+    rest, out = points.select(*keys, "id", "x", "y"), None
+    for h in widths[min(fits, default=FINER - 1) :: -1]:
+        a = rest.select("*", F.explode(around).alias("n")).select(*keys, "id", "x", "y", (cell("x", h) + F.col("n.i")).alias("cx"), (cell("y", h) + F.col("n.j")).alias("cy"))
+        b = near.select(*keys, F.col("id").alias("near"), F.col("x").alias("nx"), F.col("y").alias("ny"), cell("x", h).alias("cx"), cell("y", h).alias("cy"))
+        j = a.hint("merge").join(b, [*keys, "cx", "cy"]).where("id <> near").withColumn("distance", d).where(F.col("distance") <= h)
+        found = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "id", "near", "distance", "rank")
+        if h < reach:
+            done = found.where(F.col("rank") == k).select(*keys, "id")
+            rest = rest.join(done, [*keys, "id"], "left_anti")
+            found = found.join(done, [*keys, "id"], "left_semi")
+        out = found if out is None else out.unionByName(found)
+    return out

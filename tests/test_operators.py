@@ -660,3 +660,19 @@ def test_plan_of_many_equal_darks(spark):
 def test_plan_of_many_equal_flats(spark):
     got = _plan_of_equal_frames(spark, "flat", 1500)
     assert len(got) == 300 and {(x["n_matched"], x["n_optics"], x["selected"]) for x in got} == {(1500, 0, ",".join(map(str, range(1500))))}
+
+
+def test_nearest_neighbours_of_crowded_points(spark):
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(50, 0.3, (300, 2)), rng.uniform(0, 400, (300, 2)), np.tile([[10.0, 10.0]], (40, 1)), np.round(rng.uniform(200, 210, (100, 2)))])
+    rows = [(i % 2, i, float(x), float(y)) for i, (x, y) in enumerate(p)]
+    found = spatial.nearest_neighbours(spark.createDataFrame(rows, "g int, id long, x double, y double"), ["g"], 3, 64.0)
+    assert plan_of(found).count("Window ") > 2  # more than one width
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["near"], round(r["distance"], 9))
+    for i in range(len(p)):
+        d = sorted((float(np.hypot(*(p[i] - p[j]))), j) for j in range(i % 2, len(p), 2) if j != i)
+        assert got.get(i, {}) == {n + 1: (j, round(v, 9)) for n, (v, j) in enumerate(d[:3]) if v <= 64.0}
+    heap = spark.range(30_000).selectExpr("0 AS g", "id", "1D AS x", "1D AS y")  # 900 million pairs in one place
+    assert spatial.nearest_neighbours(heap, ["g"], 3, 64.0).agg(F.count("*"), F.max("near"), F.max("distance")).first()[:] == (90_000, 3, 0.0)
