@@ -148,7 +148,7 @@ def with_tile(df: DataFrame, ra: str = "ra", dec: str = "dec", grid: TileGrid =
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")  # the planner takes exploded tiles for small
 
 
 def cone_join(centers: DataFrame, stars: DataFrame, radius: float, grid: TileGrid = GRID) -> DataFrame:
@@ -159,10 +159,23 @@ def cone_join(centers: DataFrame, stars: DataFrame, radius: float, grid: TileGri
 
 
 def cone_topk(centers: DataFrame, stars: DataFrame, radius: float, k: int) -> DataFrame:
-    """The ``k`` brightest stars of each cone, rank by magnitude, then id."""
-    near = cone_join(centers, stars, radius)
+    """The ``k`` brightest stars of each cone, rank by magnitude, then id.
+
+    Where cones hold many more, the brightest stars of the sky are tried first: a cone with ``k`` of them is done, the others go on
+    with eight times as many, at last with all. The magnitudes at which the sky is cut only decide how long it takes."""
+    expected = stars.count() * (1 - cos(radians(radius))) / 2 / (8 * k)
+    shares = [8**i / expected for i in range(20) if 8**i < expected / 2]
+    cuts = stars.agg(F.percentile_approx("mag", shares, 10_000)).first()[0] if shares else None
     w = Window.partitionBy("sid").orderBy("mag", "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rest, out = centers, None
+    for cut in [*(cuts or []), None]:
+        pool = stars if cut is None else stars.where(F.col("mag").isNull() | (F.col("mag") <= cut))
+        found = cone_join(rest, pool, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        if cut is not None:
+            done = found.where(F.col("rank") == k).select("sid")
+            rest, found = rest.join(done, "sid", "left_anti"), found.join(done, "sid", "left_semi")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def nearest_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:

@@ -676,3 +676,16 @@ def test_nearest_neighbours_of_crowded_points(spark):
         assert got.get(i, {}) == {n + 1: (j, round(v, 9)) for n, (v, j) in enumerate(d[:3]) if v <= 64.0}
     heap = spark.range(30_000).selectExpr("0 AS g", "id", "1D AS x", "1D AS y")  # 900 million pairs in one place
     assert spatial.nearest_neighbours(heap, ["g"], 3, 64.0).agg(F.count("*"), F.max("near"), F.max("distance")).first()[:] == (90_000, 3, 0.0)
+
+
+def test_cone_topk_tries_bright_stars_first(spark):
+    s = sphere(spark, 4000, 4).withColumn("mag", F.when(F.col("id") % 500 == 3, None).otherwise(F.round("mag", 1)))
+    c = spark.range(40).selectExpr("id AS sid", "CAST(id * 9 AS DOUBLE) AS ra0", "CAST(id * 4 - 80 AS DOUBLE) AS dec0").union(spark.sql("SELECT 99L, 0D, 90D"))
+    found = spatial.cone_topk(c, s, 35.0, 3)
+    assert plan_of(found).count("Union") >= 1  # more than one cut
+    from pyspark.sql.window import Window
+
+    near = c.crossJoin(s).where(separation("ra", "dec", "ra0", "dec0") <= 35.0)
+    want = near.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("mag", "id"))).where("rank <= 3")
+    pick = lambda df: sorted(tuple(r) for r in df.select("sid", "id", "rank").collect())
+    assert pick(found) == pick(want) and len(pick(want)) == 123
