@@ -689,3 +689,20 @@ def test_cone_topk_tries_bright_stars_first(spark):
     want = near.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("mag", "id"))).where("rank <= 3")
     pick = lambda df: sorted(tuple(r) for r in df.select("sid", "id", "rank").collect())
     assert pick(found) == pick(want) and len(pick(want)) == 123
+
+
+
+def test_triangle_counts_equal_the_pairs_at_the_tolerances_edge(spark):
+    rng = np.random.default_rng(9)
+    shapes = [(0.5, 0.25), (0.501, 0.25), (0.502, 0.25), (np.nextafter(0.502, 1), 0.25), (np.nextafter(0.502, 0), 0.25), (0.5 + 1e-10, 0.248), (0.5, np.nextafter(0.248, 0)), (0.9, 0.7), (float("nan"), 0.25)]
+    pick = lambda: [(int(g), i, *shapes[k]) for g in range(40) for i, k in enumerate(rng.integers(0, len(shapes), 3))] + [(40 + g, 0, *rng.uniform(0.12, 0.2, 2).tolist()) for g in range(40)]
+    a, b = (spark.createDataFrame([(g, i, float(x), float(y)) for g, i, x, y in pick()], "grp long, i int, ratio_ba double, ratio_ca double") for _ in range(2))
+    plain = a.crossJoin(b.select(*[F.col(c).alias("r_" + c) for c in b.columns])).where("abs(ratio_ba - r_ratio_ba) <= 0.002 and abs(ratio_ca - r_ratio_ca) <= 0.002")
+    want = sorted(map(tuple, plain.groupBy("grp", "r_grp").count().collect()))
+    assert sorted(map(tuple, solving.triangle_counts(a, b, "grp", 0.002).collect())) == want and len(want) > 1000
+
+
+def test_triangle_counts_of_many_equal_groups(spark):
+    many = spark.range(3000).selectExpr("id AS grp", "explode(sequence(0, 9)) AS i").selectExpr("grp", "i", "0.5e0 + i * 1e-12 AS ratio_ba", "0.3e0 AS ratio_ca")
+    got = solving.triangle_counts(many, many, "grp", 0.002).agg(F.count("*"), F.min("n"), F.max("n")).first()
+    assert tuple(got) == (9_000_000, 100, 100)  # 900 million pairs of triangles by a plain join
