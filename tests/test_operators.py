@@ -706,3 +706,17 @@ def test_triangle_counts_of_many_equal_groups(spark):
     many = spark.range(3000).selectExpr("id AS grp", "explode(sequence(0, 9)) AS i").selectExpr("grp", "i", "0.5e0 + i * 1e-12 AS ratio_ba", "0.3e0 AS ratio_ca")
     got = solving.triangle_counts(many, many, "grp", 0.002).agg(F.count("*"), F.min("n"), F.max("n")).first()
     assert tuple(got) == (9_000_000, 100, 100)  # 900 million pairs of triangles by a plain join
+
+
+def test_quad_counts_equal_the_lookup(spark):
+    rng = np.random.default_rng(8)
+    points = [(g, i, float(x), float(y), float(i)) for g in range(30) for i, (x, y) in enumerate(rng.uniform(0, 9, (5, 2)) if g % 3 else [(0, 0), (4, 1), (2, 5), (6, 6), (1, 7)])]
+    q = solving.quads(solving.top_points(spark.createDataFrame(points, "grp long, id long, x double, y double, mag double"), "grp", 5), "grp", 5)
+    want = sorted(map(tuple, solving.quad_lookup(q, q).groupBy("i_grp", "n_grp").count().collect()))
+    assert sorted(map(tuple, solving.quad_counts(q, q, "grp").collect())) == want and len(want) >= 100
+
+
+def test_quad_counts_of_many_equal_groups(spark):
+    many = spark.range(3000).selectExpr("id AS grp", "explode(sequence(0, 9)) AS quad").selectExpr("grp", "quad", "array(0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0) AS desc").withColumn("key", solving.descriptor_key(F.col("desc")))
+    got = solving.quad_counts(many, many, "grp").agg(F.count("*"), F.min("n"), F.max("n")).first()
+    assert tuple(got) == (9_000_000, 100, 100)  # 900 million rows by a plain join
