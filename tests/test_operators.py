@@ -753,6 +753,14 @@ def test_triangle_counts_of_many_equal_groups(spark):
     assert tuple(got) == (9_000_000, 100, 100)  # 900 million pairs of triangles by a plain join
 
 
+def test_triangle_counts_take_little_space(spark, tmp_path):
+    shapes = spark.range(4000).selectExpr("id AS grp", "0.5e0 + (id % 2) * 0.2e0 AS ratio_ba", "0.3e0 AS ratio_ca")
+    solving.triangle_counts(shapes, shapes, "grp", 0.002).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.distinct().count() == 8_000_000 and out.where("l_grp % 2 <> r_grp % 2 or n <> 1").isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 8_000_000 * 0.2
+
+
 def test_quad_counts_equal_the_lookup(spark):
     rng = np.random.default_rng(8)
     points = [(g, i, float(x), float(y), float(i)) for g in range(30) for i, (x, y) in enumerate(rng.uniform(0, 9, (5, 2)) if g % 3 else [(0, 0), (4, 1), (2, 5), (6, 6), (1, 7)])]
